@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions.text import norm_id
-from cohortloom.operators import orphans, spikes
+from cohortloom.functions.text import is_control_sample, is_missing_word, norm_id, passes, read_number, read_plain_number, regular_sample_id, trimmed
+from cohortloom.operators import orphans, quality, spikes, stitch
 from cohortloom.sources.tables import live_spans, reference_rows, table
 
 # ---- problem 1
@@ -21,6 +21,28 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(refs, orphans.find_orphans(refs, live_spans(spark, d)))
 
 
+# ---- problem 4
+
+
+def plate_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of study samples with their number, whether it is usable, and warnings other than PASS."""
+    number = read_number(F.col("npx"))
+    value = F.when(number != 0, number)
+    odd = lambda c: F.when(~passes(F.col(c)), F.coalesce(trimmed(F.col(c)), F.lit("missing")))
+    return table(spark, d, "olink_long").where(~is_control_sample(F.col("sample_id"))).select(
+        regular_sample_id(norm_id(F.col("sample_id"))).alias("entity"), F.col("source_file").alias("file"), "panel", "assay", value.alias("value"),
+        (value.isNotNull() & passes(F.col("qc_warning")) & passes(F.col("assay_warning"))).alias("usable"),
+        odd("qc_warning").alias("qc_warning"), odd("assay_warning").alias("assay_warning"), "loaded_at", "row_id").where("entity is not null")
+
+
+def p4_wide(spark: SparkSession, d: str) -> DataFrame:
+    return stitch.wide_table(plate_readings(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return stitch.conflicting_cells(plate_readings(spark, d))
+
+
 # ---- problem 5
 
 STEPS, ASLEEP, BED, DEEP = "activities_summary_steps", "sleep_summary_total_minutes_asleep", "sleep_summary_total_time_in_bed", "sleep_summary_stages_deep"
@@ -41,7 +63,68 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_flags(spark, d).select("row_id", "field_name")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p5_flags, p5_found)}
+# ---- problem 7
+
+GROUPS = ("control", "fgr", "hdp", "sptb")
+
+
+def _reading_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "olink_long").select("row_id", "lab_code", "load_id", "npx", "qc_warning", "assay_warning")
+
+
+def _sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sample_metadata").select("row_id", "lab_code", "load_id", "batch", "group_label")
+
+
+def _npx_missing():
+    return is_missing_word(F.col("npx")) | F.coalesce(read_number(F.col("npx")) == 0, F.lit(False))
+
+
+def _group():
+    g = F.lower(trimmed(F.col("group_label")))
+    return F.when(g.isin(*GROUPS), g)
+
+
+def p7_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Classifier two-sample test of every load against its lab's other loads, for both large tables."""
+    v = read_plain_number(F.col("npx"))
+    level = F.when(v.isNull() | (v == 0), -1).otherwise(F.greatest(F.lit(0), F.least(F.lit(15), F.floor(v * 2) + 2)))
+    form = F.when(_npx_missing(), 0).when(v.isNotNull(), 1).otherwise(2)
+    warned = lambda c: (~passes(F.col(c))).cast("int")
+    npx = quality.two_sample_test(_reading_rows(spark, d), "lab_code", "load_id", {"npx": level, "npx_form": form, "qc_warning": warned("qc_warning"), "assay_warning": warned("assay_warning")}, "row_id")
+    code = F.coalesce(sum(F.when(_group() == g, i + 1).otherwise(0) for i, g in enumerate(GROUPS)), F.when(is_missing_word(F.col("group_label")), -1).otherwise(0))
+    batch = F.when(is_missing_word(F.col("batch")), 0).when(trimmed(F.col("batch")).rlike("^[0-9]+$"), 1).otherwise(2)
+    samples = quality.two_sample_test(_sample_rows(spark, d), "lab_code", "load_id", {"group_label": code, "batch": batch}, "row_id")
+    return quality.with_table("olink_long", [npx]).unionByName(quality.with_table("sample_metadata", [samples]))
+
+
+def p7_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Figures and issues of npx, batch and group_label per load."""
+    drift = p7_drift(spark, d)
+    v = read_plain_number(F.col("npx"))
+    npx = quality.number_issues(_reading_rows(spark, d), "lab_code", "load_id", "npx", _npx_missing(), v.isNotNull(), F.when(v != 0, v), drift.where("table_name = 'olink_long'"),
+                                missing_over=0.15, bad_over=0.05, low=-10, high=30, outside_over=0.02, distinct_under=0.2, median_off=1.2, spread_over=2)
+    b, g = F.col("batch"), F.col("group_label")
+    rows = _sample_rows(spark, d)
+    batch = quality.label_issues(rows, "lab_code", "load_id", "batch", is_missing_word(b), trimmed(b).rlike("^[0-9]+$"), None, None, 0.25, 0.25, 25, 0.45)
+    group = quality.label_issues(rows, "lab_code", "load_id", "group_label", is_missing_word(g), _group().isNotNull(), _group(), drift.where("table_name = 'sample_metadata'"), 0.25, 0.25, 25, 0.45)
+    return quality.with_table("olink_long", [npx]).unionByName(quality.with_table("sample_metadata", [batch, group]))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_loads(spark, d).select("table_name", "column_name", "load_id", F.explode("issues").alias("issue"))
+
+
+def p7_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of the tables that come in loads."""
+    out = None
+    for name in ("olink_long", "sample_metadata"):
+        x = quality.with_table(name, [quality.profile(table(spark, d, name), "load_id")])
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_wide, p4_found, p5_flags, p5_found, p7_drift, p7_loads, p7_found, p7_profile)}
 
 _KEY = "nullif(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), '')"
 _REFS = f"""refs as (
@@ -56,7 +139,42 @@ lost as (
   select * from refs r where key is not null and not exists (
     select 1 from live l where l.kind = r.kind and l.key = r.key and l.s <= r.ts and (l.e is null or l.e > r.ts)))"""
 
+_NUMBER = r"case when regexp_full_match(trim(npx, e' \\t\\n\\r'), '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(replace(trim(npx, e' \\t\\n\\r'), ',', '.') as double) end"
+_STUDY = "not coalesce(regexp_matches(upper(trim(sample_id, e' \\t\\n\\r')), '^(CONTROL|NEG|PLATE)'), false)"
+_PASS = "upper(trim({}, e' \\t\\n\\r')) = 'PASS'"
+
+_BLANK = "e' \\t\\n\\r'"
+_MISSING = "({0} is null or lower(trim({0}, " + _BLANK + ")) in ('', 'na', 'n/a', 'nan', 'null', 'none', 'unknown'))"
+_PLAIN = f"case when regexp_full_match(trim(npx, {_BLANK}), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(npx, {_BLANK}) as double) end"
+
 SQL = {
+    "p7_found": f"""with n as (select lab_code, load_id, coalesce({_MISSING.format('npx')} or ({_NUMBER}) = 0, false) as miss, {_PLAIN} as v from olink_long where lab_code is not null and load_id is not null),
+nl as (select lab_code, load_id, avg(miss::int) as mr, sum((not miss and v is null)::int) / nullif(sum((not miss)::int), 0) as br,
+  count(v) filter (where v <> 0) as k, count(distinct v) filter (where v <> 0) as kd, count(v) filter (where v <> 0 and (v < -10 or v > 30)) as ko,
+  quantile_cont(v, 0.5) filter (where v <> 0) as med, quantile_cont(v, 0.75) filter (where v <> 0) - quantile_cont(v, 0.25) filter (where v <> 0) as iqr from n group by all),
+nm as (select *, median(mr) over (partition by lab_code) as mmr, median(med) over (partition by lab_code) as mmed, median(iqr) over (partition by lab_code) as miqr from nl),
+s as (select lab_code, load_id, {_MISSING.format('batch')} as bm, not regexp_full_match(trim(batch, {_BLANK}), '[0-9]+') as bb, {_MISSING.format('group_label')} as gm,
+  case when lower(trim(group_label, {_BLANK})) in ('control', 'fgr', 'hdp', 'sptb') then lower(trim(group_label, {_BLANK})) end as g from sample_metadata where lab_code is not null and load_id is not null),
+sl as (select lab_code, load_id, avg(bm::int) as bmr, sum((not bm and bb)::int) / nullif(sum((not bm)::int), 0) as bbr, avg(gm::int) as gmr, sum((not gm and g is null)::int) / nullif(sum((not gm)::int), 0) as gbr from s group by all),
+sm as (select *, median(bmr) over (partition by lab_code) as mb, median(gmr) over (partition by lab_code) as mg from sl),
+c as (select lab_code, load_id, g, count(*) as c from s where g is not null group by all),
+ll as (select lab_code, load_id, sum(c) as nl from c group by all), lg as (select lab_code, sum(c) as ng from c group by all), lt as (select lab_code, g, sum(c) as t from c group by all),
+d as (select ll.lab_code, ll.load_id, max(nl) as nl, sum(abs(coalesce(c.c, 0) / nl - (t - coalesce(c.c, 0)) / nullif(ng - nl, 0))) / 2 as tv
+  from ll join lt on ll.lab_code = lt.lab_code join lg on ll.lab_code = lg.lab_code left join c on c.lab_code = ll.lab_code and c.load_id = ll.load_id and c.g = lt.g group by all)
+select 'olink_long' as table_name, 'npx' as column_name, load_id, 'missing_rate' as issue from nm where mr - mmr > 0.15
+union all select 'olink_long', 'npx', load_id, 'bad_pattern' from nm where br > 0.05
+union all select 'olink_long', 'npx', load_id, 'out_of_range' from nm where ko / k > 0.02
+union all select 'olink_long', 'npx', load_id, 'few_distinct' from nm where kd / k < 0.2
+union all select 'olink_long', 'npx', load_id, 'shift' from nm where abs(med - mmed) > 1.2 or iqr > 2 * miqr
+union all select 'sample_metadata', 'batch', load_id, 'missing_rate' from sm where bmr - mb > 0.25
+union all select 'sample_metadata', 'batch', load_id, 'bad_pattern' from sm where bbr > 0.25
+union all select 'sample_metadata', 'group_label', load_id, 'missing_rate' from sm where gmr - mg > 0.25
+union all select 'sample_metadata', 'group_label', load_id, 'bad_pattern' from sm where gbr > 0.25
+union all select 'sample_metadata', 'group_label', load_id, 'shift' from d where nl >= 25 and tv > 0.45""",
+    "p4_found": f"""with r as (select {_KEY.format('sample_id')} as k, source_file, panel, assay, {_NUMBER} as v from olink_long
+  where {_STUDY} and {_PASS.format('qc_warning')} and {_PASS.format('assay_warning')})
+select case when regexp_matches(k, '^DP3[0-9]') then 'DP3-' || substr(k, 4) else k end as sample_id, source_file, panel, assay
+from r where k is not null and v <> 0 group by k, source_file, panel, assay having min(v) <> max(v)""",
     "p1_found": f"with {_REFS} select table_name, row_id, ref_field from lost",
     "p1_report": f"""with {_REFS},
 t as (select table_name, ref_field, strftime(ts, '%Y-%m') as period, count(*) as n_refs from refs where key is not null group by all),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions.text import is_control_sample, is_missing_word, norm_id, passes, read_number, read_plain_number, regular_sample_id, trimmed
-from cohortloom.operators import orphans, quality, spikes, stitch
+from cohortloom.operators import drift, orphans, quality, spikes, stitch
 from cohortloom.sources.tables import live_spans, reference_rows, table
 
 # ---- problem 1
@@ -21,6 +21,29 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(refs, orphans.find_orphans(refs, live_spans(spark, d)))
 
 
+# ---- problem 2
+
+
+def _export_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fitbit_raw_records").select("raw_id", "export_name", "site_code", "file_name", "exported_at", "line_no", "payload")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(_export_lines(spark, d)).select("file_name", "change_kind", "old_field", "new_field")
+
+
+def p2_changes(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(_export_lines(spark, d))
+
+
+def p2_versions(spark: SparkSession, d: str) -> DataFrame:
+    return drift.versions(_export_lines(spark, d))
+
+
+def p2_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.one_table(_export_lines(spark, d))
+
+
 # ---- problem 4
 
 
@@ -124,7 +147,7 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_wide, p4_found, p5_flags, p5_found, p7_drift, p7_loads, p7_found, p7_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_changes, p2_versions, p2_table, p4_wide, p4_found, p5_flags, p5_found, p7_drift, p7_loads, p7_found, p7_profile)}
 
 _KEY = "nullif(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), '')"
 _REFS = f"""refs as (

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions.text import is_control_sample, is_missing_word, norm_id, passes, read_number, read_plain_number, regular_sample_id, trimmed
-from cohortloom.operators import drift, orphans, quality, spikes, stitch
+from cohortloom.operators import drift, mixfill, orphans, quality, spikes, stitch
+from cohortloom.operators.quantiles import exact_quantiles
 from cohortloom.sources.tables import live_spans, reference_rows, table
 
 # ---- problem 1
@@ -44,6 +45,66 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.one_table(_export_lines(spark, d))
 
 
+# ---- problem 3
+
+AGE, BMI = "maternal_age", "prepregnancy_bmi_self_or_record"
+
+
+def _study_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Group per sample, as the first loaded row with a valid label has it."""
+    g = _group()
+    return table(spark, d, "sample_metadata").select(norm_id(F.col("sample_id")).alias("_sample"), g.alias("g"), "loaded_at", "row_id").where("_sample is not null and g is not null").groupBy("_sample").agg(
+        F.min_by("g", F.struct("loaded_at", "row_id")).alias("study_group"))
+
+
+def filled_readings(spark: SparkSession, d: str) -> DataFrame:
+    """npx of study samples, missing ones filled: from the assay's level, the run's and the participant's other readings, group and timepoint."""
+    number = read_number(F.col("npx"))
+    sample = norm_id(F.col("sample_id"))
+    x = table(spark, d, "olink_long").where(~is_control_sample(F.col("sample_id"))).select(
+        "row_id", sample.alias("sample"), F.col("source_file").alias("file"), F.coalesce("panel", F.lit("")).alias("panel"), F.coalesce("assay", F.lit("")).alias("assay"), F.when(number != 0, number).alias("value"))
+    level = exact_quantiles(x, ["panel", "assay"], "value", {"q1": 0.25, "mid": 0.5, "q3": 0.75}).select("panel", "assay", "mid", F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(1e-3)).alias("unit"))
+    x = x.join(level, ["panel", "assay"], "left").withColumn("npx", F.when(F.col("value").isNotNull(), F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col("value") - F.col("mid")) / F.col("unit")))))
+    x = x.withColumn("person", F.regexp_extract("sample", "^(DP3[0-9]{7})", 1)).withColumn("timepoint", F.when(F.regexp_extract("sample", "([A-E])$", 1) != "", F.regexp_extract("sample", "([A-E])$", 1)))
+    # a run (sample and file) and a participant's assay are small groups even where one sample is on every plate
+    run = x.groupBy("sample", "file").agg(F.sum("npx").alias("run_sum"), F.count("npx").alias("run_n")).join(_study_groups(spark, d), F.col("sample") == F.col("_sample"), "left").select(
+        F.col("sample").alias("_s"), F.col("file").alias("_f"), "run_sum", "run_n", "study_group")
+    own = x.groupBy("person", "panel", "assay").agg(F.sum("npx").alias("own_sum"), F.count("npx").alias("own_n"))
+    x = x.join(run, F.col("sample").eqNullSafe(F.col("_s")) & F.col("file").eqNullSafe(F.col("_f")), "left").join(own.withColumnsRenamed({"person": "_p", "panel": "_pa", "assay": "_as"}), (F.col("person") == F.col("_p")) & (F.col("panel") == F.col("_pa")) & (F.col("assay") == F.col("_as")) & (F.col("person") != ""), "left")
+    here, mine = F.col("npx").isNotNull().cast("int"), F.coalesce("npx", F.lit(0.0))
+    mean = lambda s, n: F.when(F.col(n) - here > 0, (F.col(s) - mine) / (F.col(n) - here))
+    x = x.select("row_id", "value", "mid", "unit", "npx", mean("run_sum", "run_n").alias("run_level"), mean("own_sum", "own_n").alias("own_level"), "study_group", "timepoint", "panel")
+    done = mixfill.fill_mixed(x, ["npx", "run_level", "own_level"], ["study_group", "timepoint", "panel"])
+    filled = F.col("value").isNull() & F.col("mid").isNotNull() & F.col("npx").isNotNull()
+    return done.select(F.lit("olink_long").alias("table_name"), "row_id", F.lit("npx").alias("field_name"), F.coalesce("value", F.when(filled, F.col("mid") + F.col("unit") * F.col("npx"))).alias("value"),
+                       F.col("value").isNull().alias("was_missing"), filled.alias("filled"))
+
+
+def filled_clinical(spark: SparkSession, d: str) -> DataFrame:
+    """maternal_age and BMI: from the participant's other rows, else by the mixture over the clinical fields."""
+    age = F.when(F.col(AGE).between(12, 60), F.col(AGE))
+    found = F.regexp_extract(F.regexp_replace(F.col(BMI), ",", "."), r"([0-9]+([.][0-9]+)?)", 1).try_cast("double")
+    bmi = F.when(found.between(10, 90) & ~F.coalesce(F.col(BMI).rlike(r"^\s*-"), F.lit(False)), found)
+    real = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
+    flag = lambda c: F.when(F.trim(c).isin("0", "1", "2"), F.trim(c))
+    x = table(spark, d, "processed_clinical_data").select(
+        "row_id", norm_id(F.col("id")).alias("person"), F.when(~F.isnan(age), age).alias("age"), bmi.alias("bmi"), F.col("gravida").cast("double").alias("gravida"), real("gest_age_del").alias("ga"), F.log(F.when(real("birthweight") > 0, real("birthweight"))).alias("weight"),
+        _group().alias("study_group"), flag("diabetes").alias("diabetes"), flag("chtn").alias("chtn"), flag("route_of_delivery").alias("route"))
+    own = x.where("person is not null").groupBy("person").agg(F.avg("age").alias("own_age"), F.avg("bmi").alias("own_bmi"))
+    x = x.join(own, "person", "left").withColumns({"age0": F.col("age"), "bmi0": F.col("bmi"), "age": F.coalesce("age", "own_age"), "bmi": F.coalesce("bmi", "own_bmi")})
+    done = mixfill.fill_mixed(x, ["age", "bmi", "gravida", "ga", "weight"], ["study_group", "diabetes", "chtn", "route"])
+    cell = lambda name, new, old: F.struct(F.lit(name).alias("field_name"), F.col(new).alias("value"), F.col(old).isNull().alias("was_missing"), (F.col(old).isNull() & F.col(new).isNotNull()).alias("filled"))
+    return done.select("row_id", F.explode(F.array(cell(AGE, "age", "age0"), cell(BMI, "bmi", "bmi0"))).alias("c")).select(F.lit("processed_clinical_data").alias("table_name"), "row_id", "c.*")
+
+
+def p3_filled(spark: SparkSession, d: str) -> DataFrame:
+    return filled_readings(spark, d).unionByName(filled_clinical(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_filled(spark, d).where("was_missing").select("table_name", "row_id", "field_name")
+
+
 # ---- problem 4
 
 
@@ -147,7 +208,7 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_changes, p2_versions, p2_table, p4_wide, p4_found, p5_flags, p5_found, p7_drift, p7_loads, p7_found, p7_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_changes, p2_versions, p2_table, p3_filled, p3_found, p4_wide, p4_found, p5_flags, p5_found, p7_drift, p7_loads, p7_found, p7_profile)}
 
 _KEY = "nullif(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), '')"
 _REFS = f"""refs as (
@@ -171,6 +232,10 @@ _MISSING = "({0} is null or lower(trim({0}, " + _BLANK + ")) in ('', 'na', 'n/a'
 _PLAIN = f"case when regexp_full_match(trim(npx, {_BLANK}), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(npx, {_BLANK}) as double) end"
 
 SQL = {
+    "p3_found": f"""select 'olink_long' as table_name, row_id, 'npx' as field_name from olink_long where {_STUDY} and coalesce({_NUMBER}, 0) = 0
+union all select 'processed_clinical_data', row_id, 'maternal_age' from processed_clinical_data where maternal_age is null or isnan(maternal_age) or maternal_age < 12 or maternal_age > 60
+union all select 'processed_clinical_data', row_id, 'prepregnancy_bmi_self_or_record' from processed_clinical_data
+  where not coalesce(try_cast(regexp_extract(replace(prepregnancy_bmi_self_or_record, ',', '.'), '-?[0-9]+([.][0-9]+)?') as double) between 10 and 90, false)""",
     "p7_found": f"""with n as (select lab_code, load_id, coalesce({_MISSING.format('npx')} or ({_NUMBER}) = 0, false) as miss, {_PLAIN} as v from olink_long where lab_code is not null and load_id is not null),
 nl as (select lab_code, load_id, avg(miss::int) as mr, sum((not miss and v is null)::int) / nullif(sum((not miss)::int), 0) as br,
   count(v) filter (where v <> 0) as k, count(distinct v) filter (where v <> 0) as kd, count(v) filter (where v <> 0 and (v < -10 or v > 30)) as ko,

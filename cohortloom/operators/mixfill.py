@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cohortloom.session import cut
 
-CLASSES, ROUNDS, SEED = 4, 10, 7
+CLASSES, ROUNDS, SEED = 4, 8, 7
 #: Commonest levels of a categorical field that the model knows; the rest share one.
 LEVELS = 24
 #: Weight of the common covariance and of even level shares in each class.
@@ -61,10 +61,11 @@ def _posterior(x: np.ndarray, codes: np.ndarray, m: Mixture) -> tuple[np.ndarray
                 s = m.cov[c][np.ix_(obs, obs)]
                 inv = np.linalg.inv(s)
                 diff = x[np.ix_(rows, obs)] - m.mean[c][obs]
-                logp[rows, c] += -0.5 * (np.einsum("ij,jk,ik->i", diff, inv, diff) + np.linalg.slogdet(s)[1])
-                gain = m.cov[c][np.ix_(mis, obs)] @ inv
-                filled[np.ix_(rows, [c], mis)] = (m.mean[c][mis] + diff @ gain.T)[:, None, :]
-                full[np.ix_(mis, mis)] = m.cov[c][np.ix_(mis, mis)] - gain @ m.cov[c][np.ix_(obs, mis)]
+                logp[rows, c] -= 0.5 * (((diff @ inv) * diff).sum(axis=1) + np.linalg.slogdet(s)[1])
+                if mis.any():
+                    gain = m.cov[c][np.ix_(mis, obs)] @ inv
+                    filled[np.ix_(rows, [c], mis)] = (m.mean[c][mis] + diff @ gain.T)[:, None, :]
+                    full[np.ix_(mis, mis)] = m.cov[c][np.ix_(mis, mis)] - gain @ m.cov[c][np.ix_(obs, mis)]
             else:
                 filled[np.ix_(rows, [c], mis)] = m.mean[c][mis]
                 full = m.cov[c].copy()
@@ -79,8 +80,9 @@ def _statistics(x: np.ndarray, codes: np.ndarray, m: Mixture) -> np.ndarray:
     g, filled, extra, pattern = _posterior(x, codes, m)
     k, d = m.mean.shape
     out = [g.sum(axis=0)]
-    out.append(np.einsum("nk,nkd->kd", g, filled).ravel())
-    second = np.einsum("nk,nkd,nke->kde", g, filled, filled)
+    weighted = g[:, :, None] * filled
+    out.append(weighted.sum(axis=0).ravel())
+    second = np.stack([weighted[:, c].T @ filled[:, c] for c in range(k)])
     for p, covs in extra.items():
         mass = g[pattern == p].sum(axis=0)
         for c in range(k):

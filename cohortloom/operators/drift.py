@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.session import cut
+
 SERIES = ["export_name", "site_code"]
 #: Share of the repeated records in which a renamed field's values must agree.
 AGREE = 0.8
@@ -70,16 +72,21 @@ def files_of(lines: DataFrame) -> DataFrame:
     return f.withColumn("seq", F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.col("exported_at").asc_nulls_first(), "file_name")))
 
 
-def fields_of(lines: DataFrame) -> DataFrame:
+def tokenized(lines: DataFrame) -> DataFrame:
+    """All cells with their type and tokens, parsed once."""
+    return cut(cells(lines, *SERIES, "file_name", "raw_id").select(*SERIES, "file_name", "raw_id", "field", "kind", F.when(F.col("kind").isNotNull(), tokens(_text(F.col("value")))).alias("t")))
+
+
+def fields_of(read: DataFrame) -> DataFrame:
     """Fields of each file with the type of most non-null values (ties: first by name)."""
-    per = cells(lines, *SERIES, "file_name").groupBy(*SERIES, "file_name", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
+    per = read.groupBy(*SERIES, "file_name", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(*SERIES, "file_name", "field").agg(
         F.min_by("kind", F.when(F.col("kind").isNotNull(), F.struct(-F.col("n"), F.col("kind")))).alias("kind"), F.sum("n").alias("n_lines"), F.sum(F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)).alias("n_values"))
 
 
 def versions(lines: DataFrame) -> DataFrame:
     """Each file with its schema fingerprint and version: the number of changes of fingerprint so far in its series."""
-    prints = fields_of(lines).groupBy(*SERIES, "file_name").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "field", F.coalesce("kind", F.lit("none"))))), "|"), 256).alias("fingerprint"))
+    prints = fields_of(cells(lines, *SERIES, "file_name")).groupBy(*SERIES, "file_name").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "field", F.coalesce("kind", F.lit("none"))))), "|"), 256).alias("fingerprint"))
     w = Window.partitionBy(*SERIES).orderBy("seq")
     f = files_of(lines).join(_safe(prints, ["file_name"]), _on(SERIES + ["file_name"], "_"), "left").select(*SERIES, "file_name", "exported_at", "n_lines", "seq", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
     new = F.when(F.lag("fingerprint").over(w).eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
@@ -98,31 +105,29 @@ def _on(cols: list[str], prefix: str) -> Column:
     return out
 
 
-def _steps(lines: DataFrame) -> DataFrame:
+def _steps(f: DataFrame, fields: DataFrame) -> DataFrame:
     """Per boundary (a file and the one before it) and field: kinds before and after, null struct where absent."""
-    f = files_of(lines).select(*SERIES, "file_name", "seq")
-    at = fields_of(lines).join(_safe(f, ["file_name"]), _on(SERIES + ["file_name"], "_")).select(*SERIES, "seq", "field", "kind")
+    at = fields.join(_safe(f, ["file_name"]), _on(SERIES + ["file_name"], "_")).select(*SERIES, "seq", "field", "kind")
     after = at.where("seq > 1").select(*SERIES, "seq", "field", F.struct("kind").alias("after"), F.lit(None).cast("struct<kind:string>").alias("before"))
     last = f.groupBy(*SERIES).agg(F.max("seq").alias("n"))
     before = at.join(_safe(last, []), _on(SERIES, "_")).where("seq < n").select(*SERIES, (F.col("seq") + 1).alias("seq"), "field", F.lit(None).cast("struct<kind:string>").alias("after"), F.struct("kind").alias("before"))
     return after.unionByName(before).groupBy(*SERIES, "seq", "field").agg(F.max("before").alias("before"), F.max("after").alias("after"))
 
 
-def renames(lines: DataFrame, steps: DataFrame) -> DataFrame:
+def renames(read: DataFrame, f: DataFrame, steps: DataFrame) -> DataFrame:
     """Proved renames: series, seq of the later file, old and new field, records compared and in agreement."""
     gone, come = F.col("before").isNotNull() & F.col("after").isNull(), F.col("before").isNull() & F.col("after").isNotNull()
     open_ = steps.groupBy(*SERIES, "seq").agg(F.collect_set(F.when(gone, F.col("field"))).alias("old"), F.collect_set(F.when(come, F.col("field"))).alias("new")).where("size(old) > 0 and size(new) > 0")
-    f = files_of(lines).select(*SERIES, "file_name", "seq")
     # a line takes part in the boundary before its file and in the one after it
     sides = open_.select(*SERIES, "seq", F.col("seq").alias("of"), F.lit(1).alias("side"), F.col("new").alias("wanted")).unionByName(
         open_.select(*SERIES, "seq", (F.col("seq") - 1).alias("of"), F.lit(0).alias("side"), F.col("old").alias("wanted")))
     role = f.withColumnRenamed("seq", "of").join(_safe(sides, ["of"]), _on(SERIES + ["of"], "_")).select(*SERIES, "file_name", "seq", "side", "wanted")
-    per_line = cells(lines, *SERIES, "file_name", "raw_id").where("kind is not null").select(*SERIES, "file_name", "raw_id", "field", tokens(_text(F.col("value"))).alias("t")).groupBy(*SERIES, "file_name", "raw_id").agg(
+    per_line = read.where("kind is not null").groupBy(*SERIES, "file_name", "raw_id").agg(
         F.array_sort(F.collect_list(F.struct("field", "t"))).alias("cells"))
     rare = F.array_sort(F.array_distinct(F.filter(F.flatten(F.col("cells.t")), lambda x: x.rlike(r"^#[0-9]{4,}[.]|^[a-z]*[0-9]{5,}[a-z0-9]*$"))))
     at = per_line.join(_safe(role, ["file_name"]), _on(SERIES + ["file_name"], "_")).select(*SERIES, "seq", "side", "raw_id", F.filter("cells", lambda c: F.array_contains("wanted", c["field"])).alias("cells"), rare.alias("rare"))
     # a repeated line within a file counts once
-    once = at.groupBy(*SERIES, "seq", "side", "rare", "cells").agg(F.min("raw_id").alias("rec"))
+    once = cut(at.groupBy(*SERIES, "seq", "side", "rare", "cells").agg(F.min("raw_id").alias("rec")))
     keys = once.select(*SERIES, "seq", "side", "rec", F.explode(F.when(F.size("rare") < 2, F.col("rare")).otherwise(
         F.flatten(F.transform("rare", lambda a: F.transform(F.filter("rare", lambda b: b > a), lambda b: F.concat_ws("~", a, b)))))).alias("k"))
     # only keys that stand for one record on either side pair records, so nothing is multiplied out
@@ -148,9 +153,10 @@ def changes(lines: DataFrame) -> DataFrame:
     payloads included, have no fields; the first file of a series has no change. Null names of exports, sites and
     files are values like others.
     """
-    steps = _steps(lines)
-    moved = renames(lines, steps)
-    names = files_of(lines).select(*SERIES, "seq", "file_name")
+    names = cut(files_of(lines).select(*SERIES, "file_name", "seq"))
+    read = tokenized(lines)
+    steps = cut(_steps(names, fields_of(read)))
+    moved = cut(renames(read, names, steps))
     kinds = lambda side, field: steps.where(F.col(side).isNotNull()).select(*(F.col(c).alias(f"_{c}") for c in SERIES), F.col("seq").alias("_seq"), F.col("field").alias(f"_{field}"), F.col(f"{side}.kind").alias(f"{side}_kind"))
     ren = moved.join(kinds("before", "old_field"), _on(SERIES + ["seq", "old_field"], "_")).select(*moved.columns, "before_kind").join(
         kinds("after", "new_field"), _on(SERIES + ["seq", "new_field"], "_")).select(*moved.columns, "before_kind", "after_kind")

@@ -17,8 +17,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     a grid bucket, values beyond ``reach`` share two outer buckets; neither changes the result.
     """
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    counted = clean.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn(
-        "_b", F.floor(F.greatest(F.lit(-reach), F.least(F.lit(reach), F.col("_v"))) / width))
+    return quantiles_of_counts(clean.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")), keys, probs, width, reach)
+
+
+def quantiles_of_counts(counted: DataFrame, keys: list[str], probs: dict[str, float], width: float = 0.25, reach: float = 1000.0) -> DataFrame:
+    """As exact_quantiles, from one row per keys and value: ``_v`` and its count ``_c``."""
+    counted = counted.withColumn("_b", F.floor(F.greatest(F.lit(-reach), F.least(F.lit(reach), F.col("_v"))) / width))
     by_bucket = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     buckets = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n")).withColumn("_before", F.sum("_n").over(by_bucket) - F.col("_n")).withColumn("n", F.sum("_n").over(whole))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.text import is_control_sample, is_missing_word, norm_id, passes, read_number, read_plain_number, regular_sample_id, trimmed
 from cohortloom.operators import drift, mixfill, orphans, quality, spikes, stitch
 from cohortloom.operators.quantiles import exact_quantiles
+from cohortloom.session import cut
 from cohortloom.sources.tables import live_spans, reference_rows, table
 
 # ---- problem 1
@@ -153,45 +154,45 @@ GROUPS = ("control", "fgr", "hdp", "sptb")
 
 
 def _reading_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "olink_long").select("row_id", "lab_code", "load_id", "npx", "qc_warning", "assay_warning")
+    """What problem 7 needs of each reading, read and parsed once."""
+    missing = is_missing_word(F.col("npx")) | F.coalesce(read_number(F.col("npx")) == 0, F.lit(False))
+    return cut(table(spark, d, "olink_long").select("row_id", "lab_code", "load_id", missing.alias("missing"), read_plain_number(F.col("npx")).alias("v"), passes(F.col("qc_warning")).alias("qc"), passes(F.col("assay_warning")).alias("assay")))
 
 
 def _sample_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sample_metadata").select("row_id", "lab_code", "load_id", "batch", "group_label")
 
 
-def _npx_missing():
-    return is_missing_word(F.col("npx")) | F.coalesce(read_number(F.col("npx")) == 0, F.lit(False))
-
-
 def _group():
     g = F.lower(trimmed(F.col("group_label")))
     return F.when(g.isin(*GROUPS), g)
 
 
-def p7_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Classifier two-sample test of every load against its lab's other loads, for both large tables."""
-    v = read_plain_number(F.col("npx"))
+def _drift(readings: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    v = F.col("v")
     level = F.when(v.isNull() | (v == 0), -1).otherwise(F.greatest(F.lit(0), F.least(F.lit(15), F.floor(v * 2) + 2)))
-    form = F.when(_npx_missing(), 0).when(v.isNotNull(), 1).otherwise(2)
-    warned = lambda c: (~passes(F.col(c))).cast("int")
-    npx = quality.two_sample_test(_reading_rows(spark, d), "lab_code", "load_id", {"npx": level, "npx_form": form, "qc_warning": warned("qc_warning"), "assay_warning": warned("assay_warning")}, "row_id")
+    form = F.when(F.col("missing"), 0).when(v.isNotNull(), 1).otherwise(2)
+    npx = quality.two_sample_test(readings, "lab_code", "load_id", {"npx": level, "npx_form": form, "qc_warning": (~F.col("qc")).cast("int"), "assay_warning": (~F.col("assay")).cast("int")}, "row_id")
     code = F.coalesce(sum(F.when(_group() == g, i + 1).otherwise(0) for i, g in enumerate(GROUPS)), F.when(is_missing_word(F.col("group_label")), -1).otherwise(0))
     batch = F.when(is_missing_word(F.col("batch")), 0).when(trimmed(F.col("batch")).rlike("^[0-9]+$"), 1).otherwise(2)
-    samples = quality.two_sample_test(_sample_rows(spark, d), "lab_code", "load_id", {"group_label": code, "batch": batch}, "row_id")
+    return npx, quality.two_sample_test(samples, "lab_code", "load_id", {"group_label": code, "batch": batch}, "row_id")
+
+
+def p7_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Classifier two-sample test of every load against its lab's other loads, for both large tables."""
+    npx, samples = _drift(_reading_rows(spark, d), _sample_rows(spark, d))
     return quality.with_table("olink_long", [npx]).unionByName(quality.with_table("sample_metadata", [samples]))
 
 
 def p7_loads(spark: SparkSession, d: str) -> DataFrame:
     """Figures and issues of npx, batch and group_label per load."""
-    drift = p7_drift(spark, d)
-    v = read_plain_number(F.col("npx"))
-    npx = quality.number_issues(_reading_rows(spark, d), "lab_code", "load_id", "npx", _npx_missing(), v.isNotNull(), F.when(v != 0, v), drift.where("table_name = 'olink_long'"),
+    readings, rows = _reading_rows(spark, d), _sample_rows(spark, d)
+    in_readings, in_samples = (cut(x) for x in _drift(readings, rows))  # a few rows per load
+    v, b, g = F.col("v"), F.col("batch"), F.col("group_label")
+    npx = quality.number_issues(readings, "lab_code", "load_id", "npx", F.col("missing"), v.isNotNull(), F.when(v != 0, v), in_readings,
                                 missing_over=0.15, bad_over=0.05, low=-10, high=30, outside_over=0.02, distinct_under=0.2, median_off=1.2, spread_over=2)
-    b, g = F.col("batch"), F.col("group_label")
-    rows = _sample_rows(spark, d)
     batch = quality.label_issues(rows, "lab_code", "load_id", "batch", is_missing_word(b), trimmed(b).rlike("^[0-9]+$"), None, None, 0.25, 0.25, 25, 0.45)
-    group = quality.label_issues(rows, "lab_code", "load_id", "group_label", is_missing_word(g), _group().isNotNull(), _group(), drift.where("table_name = 'sample_metadata'"), 0.25, 0.25, 25, 0.45)
+    group = quality.label_issues(rows, "lab_code", "load_id", "group_label", is_missing_word(g), _group().isNotNull(), _group(), in_samples, 0.25, 0.25, 25, 0.45)
     return quality.with_table("olink_long", [npx]).unionByName(quality.with_table("sample_metadata", [batch, group]))
 
 

@@ -10,12 +10,12 @@ MISSING_WORDS = ("", "na", "n/a", "nan", "null", "none", "unknown")
 
 NUMBER = r"^[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)?$"
 PLAIN_NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-BLANKS = r"^\s+|\s+$"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, BLANKS, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def norm_id(c: Column) -> Column:
@@ -37,7 +37,7 @@ def is_missing_word(c: Column) -> Column:
 def read_number(c: Column) -> Column:
     """A number from text, blanks around it and a decimal comma allowed; null if there is none. NaN is none."""
     t = trimmed(c)
-    return F.when(t.rlike(NUMBER), F.regexp_replace(t, ",", ".").try_cast("double"))
+    return F.when(t.rlike(NUMBER), F.translate(t, ",", ".").try_cast("double"))
 
 
 def read_plain_number(c: Column) -> Column:

@@ -128,9 +128,9 @@ def _coded(df: DataFrame, categoricals: list[str], levels: list[list[str]]) -> D
 
 
 def fit_mixture(df: DataFrame, numerics: list[str], categoricals: list[str], classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Mixture | None, DataFrame]:
-    """Fit on all rows. Returns the parameters (None if a numeric field has no value at all) and the coded rows."""
+    """Fit on all rows of a table that is cheap to read again. Returns the parameters (None if a numeric field has no value at all) and the coded rows."""
     levels = [[r[0] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(LEVELS).collect()] for c in categoricals]
-    coded = cut(_coded(df, categoricals, levels))
+    coded = _coded(df, categoricals, levels)
     base = coded.agg(*(f(c).alias(f"{c}_{k}") for c in numerics for k, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
     if any(base[f"{c}_m"] is None for c in numerics):
         return None, coded
@@ -174,6 +174,7 @@ def fill_mixed(df: DataFrame, numerics: list[str], categoricals: list[str], clas
     if marks & set(df.columns):
         raise ValueError(f"columns {sorted(marks & set(df.columns))} are used for marks")
     clean = df.select(*(F.when(~F.isnan(c), F.col(c).cast("double")).alias(c) if c in numerics else F.col(c).cast("string").alias(c) if c in categoricals else F.col(c) for c in df.columns))
+    clean = cut(clean)  # read by every round
     some = clean.agg(*(F.count(c).alias(c) for c in numerics)).first()
     usable = [c for c in numerics if some[c]]
     m, coded = fit_mixture(clean, usable, categoricals, classes, rounds) if usable else (None, clean)

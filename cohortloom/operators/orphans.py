@@ -53,6 +53,8 @@ def _scan(refs: DataFrame, spans: DataFrame) -> DataFrame:
     One key's rows are spread over its days; what a day inherits is one value per key and day.
     """
     open_end = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
+    timeless = refs.where(F.col("at").isNull())
+    refs = refs.where(F.col("at").isNotNull())
     carried = [c for c in refs.columns if c not in ("kind", "key", "at")]
     events = refs.select("kind", "key", "at", F.lit(1).alias("is_ref"), F.lit(None).cast("timestamp_ntz").alias("until"), F.struct(*carried).alias("rest")).unionByName(
         spans.select("kind", "key", F.col("start").alias("at"), F.lit(0).alias("is_ref"), F.coalesce("end", open_end).cast("timestamp_ntz").alias("until"), F.lit(None).cast(refs.select(F.struct(*carried).alias("rest")).schema["rest"].dataType).alias("rest"))
@@ -63,7 +65,7 @@ def _scan(refs: DataFrame, spans: DataFrame) -> DataFrame:
     running = Window.partitionBy("kind", "key", "slice").orderBy("at", "is_ref").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = events.withColumn("until_now", F.max("until").over(running)).join(days, ["kind", "key", "slice"])
     last = F.greatest("until_now", "carry")  # ignores nulls
-    return seen.where("is_ref = 1").where(last.isNull() | (last <= F.col("at"))).select("kind", "key", "at", "rest.*")
+    return seen.where("is_ref = 1").where(last.isNull() | (last <= F.col("at"))).select("kind", "key", "at", "rest.*").unionByName(timeless)
 
 
 def find_orphans(refs: DataFrame, spans: DataFrame, heavy_share: float = HEAVY_SHARE, heavy_rows: int = HEAVY_ROWS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:

@@ -141,7 +141,7 @@ def _series_limits(batches: Iterator[pa.RecordBatch], fields: list[str], logs: s
         if out["source"]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["source"], pa.string()), pa.array(np.concatenate(out["day"]).astype(np.int32), pa.int32()), pa.array(out["field"], pa.string()),
-                 *(pa.array(np.concatenate(out[k]), pa.float64()) for k in ("reading", "lo", "hi")), pa.array(np.concatenate(out["stuck"]), pa.bool_())],
+                 *(pa.array(v := np.concatenate(out[k]), pa.float64(), mask=np.isnan(v)) for k in ("reading", "lo", "hi")), pa.array(np.concatenate(out["stuck"]), pa.bool_())],
                 ["source", "day", "field", "reading", "lo", "hi", "stuck"])
 
 

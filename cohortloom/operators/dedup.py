@@ -97,17 +97,17 @@ def greedy_clusters(df: DataFrame, key: str, rt: str, mz: str, rt_tol: float = R
 def components(nodes: DataFrame, edges: DataFrame, node: str, a: str = "a", b: str = "b") -> DataFrame:
     """Least node of each node's connected component.
 
-    Labels spread along edges and are shortened by following the label's own label, so that the rounds grow with the
-    logarithm of a component's diameter; it ends when no label changes.
+    Each round every label hooks onto the least label next to it, chains of hooks are shortened, and edges are drawn
+    between the labels that are left; rounds grow with the logarithm of the number of nodes. It ends without edges.
     """
-    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
-    label = cut(nodes.select(F.col(node).alias("n"), F.col(node).alias("c")))
-    while True:
-        near = both.join(label, F.col("y") == F.col("n")).groupBy("x").agg(F.min("c").alias("m"))
-        step = label.join(near, F.col("n") == F.col("x"), "left").select("n", F.least("c", F.coalesce("m", F.col("c"))).alias("c"), F.col("c").alias("old"))
-        jump = step.select(F.col("n").alias("k"), F.col("c").alias("kc"))
-        new = cut(step.join(jump, F.col("c") == F.col("k")).select("n", F.least("c", "kc").alias("c"), "old"))
-        changed = new.where("c <> old").limit(1).count()
-        label = new.select("n", "c")
-        if not changed:
-            return label.select(F.col("n").alias(node), F.col("c").alias("component"))
+    links = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x <> y").distinct())
+    label = nodes.select(F.col(node).alias("n"), F.col(node).alias("c")).distinct()
+    while links.limit(1).count():
+        hook = links.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
+        for _ in range(3):
+            up = hook.select(F.col("x").alias("_x"), F.col("p").alias("_p"))
+            hook = cut(hook.join(up, F.col("p") == F.col("_x"), "left").select("x", F.coalesce("_p", "p").alias("p")))
+        label = cut(label.join(hook, F.col("c") == F.col("x"), "left").select("n", F.coalesce("p", "c").alias("c")))
+        left, right = hook.select(F.col("x").alias("_a"), F.col("p").alias("_pa")), hook.select(F.col("x").alias("_b"), F.col("p").alias("_pb"))
+        links = cut(links.join(left, F.col("x") == F.col("_a")).join(right, F.col("y") == F.col("_b")).select(F.col("_pa").alias("x"), F.col("_pb").alias("y")).where("x <> y").distinct())
+    return label.select(F.col("n").alias(node), F.col("c").alias("component"))

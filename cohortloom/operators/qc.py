@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.quantiles import exact_quantiles
+from cohortloom.session import cut
 
 #: Limits of the rules.
 FEATURE_MISSING, SAMPLE_MISSING, MISSING_GAP, RSD_LIMIT, MAD_LIMIT = 0.20, 0.50, 0.10, 30.0, 5.0
@@ -46,7 +47,7 @@ def rsd(df: DataFrame, feature: str, batch: str, value: str, least: int = 2) ->
 def mad_outliers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows further than five raw median deviations from the median of their keys; a zero deviation flags none."""
     mid = exact_quantiles(df, keys, value, {"mid": 0.5}).drop("n")
-    x = df.where(F.col(value).isNotNull()).join(mid, keys).withColumn("_dev", F.abs(F.col(value) - F.col("mid")))
+    x = cut(df.where(F.col(value).isNotNull()).join(mid, keys).withColumn("_dev", F.abs(F.col(value) - F.col("mid"))))
     mad = exact_quantiles(x, keys, "_dev", {"mad": 0.5}).drop("n")
     return x.join(mad, keys).where((F.col("mad") > 0) & (F.col("_dev") > MAD_LIMIT * F.col("mad"))).drop("_dev")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions.text import is_control_sample, is_missing_word, norm_id, passes, read_number, read_plain_number, regular_sample_id, trimmed
@@ -156,11 +156,11 @@ GROUPS = ("control", "fgr", "hdp", "sptb")
 def _reading_rows(spark: SparkSession, d: str) -> DataFrame:
     """What problem 7 needs of each reading, read and parsed once."""
     missing = is_missing_word(F.col("npx")) | F.coalesce(read_number(F.col("npx")) == 0, F.lit(False))
-    return cut(table(spark, d, "olink_long").select("row_id", "lab_code", "load_id", missing.alias("missing"), read_plain_number(F.col("npx")).alias("v"), passes(F.col("qc_warning")).alias("qc"), passes(F.col("assay_warning")).alias("assay")))
+    return cut(table(spark, d, "olink_long").select("row_id", "lab_code", "load_id", missing.alias("missing"), read_plain_number(F.col("npx")).alias("v"), *(c.alias(f"{k}_code") for k, c in _reading_codes().items())))
 
 
 def _sample_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "sample_metadata").select("row_id", "lab_code", "load_id", "batch", "group_label")
+    return table(spark, d, "sample_metadata")
 
 
 def _group():
@@ -168,14 +168,53 @@ def _group():
     return F.when(g.isin(*GROUPS), g)
 
 
+#: Bins of a number, each lab's own quantiles, and buckets of a column of labels.
+READING_BINS, AGE_BINS, BUCKETS = 16, 8, 8
+
+
+def _bucket(c: Column) -> Column:
+    """One of a few buckets of labels by hash, 0 for missing."""
+    return F.when(is_missing_word(c), 0).otherwise(F.pmod(F.xxhash64(F.lower(trimmed(c))), F.lit(BUCKETS)).cast("int") + 1)
+
+
+def _id_form(c: Column) -> Column:
+    return F.when(is_missing_word(c), 0).when(is_control_sample(c), 1).when(c.rlike("^DP3-[0-9]+[A-Z]?$"), 2).otherwise(3)
+
+
+def _warning(c: Column) -> Column:
+    return F.when(passes(c), 0).when(is_missing_word(c), 2).otherwise(1)
+
+
+def _reading_codes() -> dict[str, Column]:
+    """A small whole number for each column of olink_long but npx.
+
+    Ids, files and times name the load itself, so their form or presence is compared and not their values.
+    """
+    c = F.col
+    return {"row_id": c("row_id").isNull().cast("int"), "sample_id": _id_form(c("sample_id")), "assay": _bucket(c("assay")), "panel": _bucket(c("panel")), "qc_warning": _warning(c("qc_warning")),
+            "assay_warning": _warning(c("assay_warning")), "source_file": _bucket(F.regexp_replace(c("source_file"), "[0-9]+", "9")), "loaded_at": c("loaded_at").isNull().cast("int")}
+
+
+def _sample_codes() -> dict[str, Column]:
+    """As _reading_codes, for sample_metadata."""
+    c = F.col
+    group = F.coalesce(sum(F.when(_group() == g, i + 1).otherwise(0) for i, g in enumerate(GROUPS)), F.when(is_missing_word(c("group_label")), -1).otherwise(0))
+    batch = F.when(is_missing_word(c("batch")), 0).when(trimmed(c("batch")).rlike("^[0-9]+$"), 1).otherwise(2)
+    return {"row_id": c("row_id").isNull().cast("int"), **{k: _id_form(c(k)) for k in ("sample_id", "subject_id", "metadata_canonical_id")}, "group_label": group, "subgroup": _bucket(c("subgroup")), "batch": batch,
+            **{k: c(f"{k}_bin") for k in AGES}, "loaded_at": c("loaded_at").isNull().cast("int")}
+
+
+AGES = ("gest_age_delivery", "sample_gest_age")
+
+
 def _drift(readings: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classifier test over a feature of every column of both tables."""
     v = F.col("v")
-    level = F.when(v.isNull() | (v == 0), -1).otherwise(F.greatest(F.lit(0), F.least(F.lit(15), F.floor(v * 2) + 2)))
-    form = F.when(F.col("missing"), 0).when(v.isNotNull(), 1).otherwise(2)
-    npx = quality.two_sample_test(readings, "lab_code", "load_id", {"npx": level, "npx_form": form, "qc_warning": (~F.col("qc")).cast("int"), "assay_warning": (~F.col("assay")).cast("int")}, "row_id")
-    code = F.coalesce(sum(F.when(_group() == g, i + 1).otherwise(0) for i, g in enumerate(GROUPS)), F.when(is_missing_word(F.col("group_label")), -1).otherwise(0))
-    batch = F.when(is_missing_word(F.col("batch")), 0).when(trimmed(F.col("batch")).rlike("^[0-9]+$"), 1).otherwise(2)
-    return npx, quality.two_sample_test(samples, "lab_code", "load_id", {"group_label": code, "batch": batch}, "row_id")
+    levels = quality.binned(readings, "lab_code", {"v": F.when(~F.col("missing"), v)}, READING_BINS)
+    npx = F.when(F.col("missing"), -1).when(v.isNull(), -2).otherwise(F.col("v_bin"))
+    in_readings = quality.two_sample_test(levels, "lab_code", "load_id", {"npx": npx} | {k: F.col(f"{k}_code") for k in _reading_codes()}, "row_id")
+    ages = quality.binned(samples, "lab_code", {k: F.col(k) for k in AGES}, AGE_BINS)
+    return in_readings, quality.two_sample_test(ages, "lab_code", "load_id", _sample_codes(), "row_id")
 
 
 def p7_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -201,10 +240,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of the tables that come in loads."""
+    """Every column of the tables that come in loads, with its change against the lab's other loads."""
     out = None
-    for name in ("olink_long", "sample_metadata"):
-        x = quality.with_table(name, [quality.profile(table(spark, d, name), "load_id")])
+    for name, drift in zip(("olink_long", "sample_metadata"), _drift(_reading_rows(spark, d), _sample_rows(spark, d)), strict=True):
+        x = quality.with_table(name, [quality.profile(table(spark, d, name), "load_id", group="lab_code", drift=cut(drift))])
         out = x if out is None else out.unionByName(x)
     return out
 

@@ -81,3 +81,20 @@ def test_profile_of_awkward_tables(spark):
     p = {(r["load_id"], r["column_name"]): r for r in quality.profile(df, "load").collect()}
     assert p["l", "t"]["common_form"] in ("a9", "") and p["l", "n"]["n_null"] == 1 and p[None, "t"]["n_distinct"] == 1
     assert quality.profile(df.limit(0), "load").count() == 0
+
+
+def test_profile_has_the_change_of_every_column_by_lab_and_load(spark):
+    from cohortloom.plans import cohort_queries as cq
+
+    rng = np.random.default_rng(5)
+    rows = [(i, f"DP3-{i:07d}A", "DP3-1", "Control", ["Control", "PPROM", "FGR"][int(rng.integers(0, 3))] if i % 4 else "late", "1", float(rng.normal(38, 2)), float(rng.normal(39 + 9 * (i % 4 == 1), 2)), "DP3-1A", "lab", f"L{i % 4}", None) for i in range(2000)]
+    samples = spark.createDataFrame(rows, "row_id long, sample_id string, subject_id string, group_label string, subgroup string, batch string, gest_age_delivery double, sample_gest_age double, metadata_canonical_id string, lab_code string, load_id string, loaded_at timestamp")
+    names = ("row_id long, sample_id string, assay string, panel string, npx string, qc_warning string, assay_warning string, source_file string, lab_code string, load_id string, loaded_at timestamp")
+    readings = spark.createDataFrame([], names)
+    empty = readings.select("row_id", "lab_code", "load_id", F.lit(False).alias("missing"), F.lit(1.0).alias("v"), *(c.alias(f"{k}_code") for k, c in cq._reading_codes().items()))
+    moved = cq._drift(empty, samples)[1]
+    p = {(r["lab_code"], r["load_id"], r["column_name"]): r for r in quality.profile(samples, "load_id", group="lab_code", drift=moved).collect()}
+    assert {k[2] for k in p} == set(samples.columns) - {"lab_code", "load_id"} and len(p) == 4 * 10
+    assert p["lab", "L0", "subgroup"]["loss"] > 0.2 and p["lab", "L0", "subgroup"]["gap"] > 0.9 and p["lab", "L0", "batch"]["gap"] == 0
+    assert p["lab", "L1", "sample_gest_age"]["loss"] > 0.1 and p["lab", "L1", "sample_gest_age"]["gap"] > 0.7
+    assert abs(p["lab", "L2", "gest_age_delivery"]["loss"]) < 0.05 and all(r["auc"] is not None for r in p.values())

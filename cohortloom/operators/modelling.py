@@ -96,6 +96,46 @@ def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int, level:
     return m.agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"), F.count("m").alias("n_replicates"))  # one row per replicate
 
 
+def bootstrap_auc(df: DataFrame, key: str, score: str, truth: Column, replicates: int = 1000, level: float = 0.95, least: int = 20) -> DataFrame:
+    """ROC area and its percentile interval from Poisson resampling by hash; no interval under the least valid replicates.
+
+    Rows are parted by ranges of the score, so each part counts its own ordered pairs of every replicate; pairs across
+    parts follow from the parts' sums. A replicate without both classes is not valid. Replicate 0 is as observed.
+    """
+    x = df.select(F.xxhash64(key).alias("h"), F.col(score).cast("double").alias("v"), truth.cast("int").alias("t")).where("v is not null and not isnan(v) and t is not null")
+    cuts = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(16)])
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        p = pd.concat(got).sort_values("v")
+        h, t, v = p["h"].to_numpy().astype(np.uint64), p["t"].to_numpy() == 1, p["v"].to_numpy()
+        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])  # equal scores are one step
+        out = np.zeros((replicates + 1, 3))
+        for r in range(replicates + 1):
+            w = np.ones(len(h))
+            if r:
+                m = h ^ np.uint64(r * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+                    m ^= m >> np.uint64(30)
+                    m *= np.uint64(factor)
+                m ^= m >> np.uint64(31)
+                w = np.searchsorted(cuts, (m >> np.uint64(11)).astype(float) / float(1 << 53), side="right").astype(float)
+            pos, neg = np.add.reduceat(w * t, first), np.add.reduceat(w * ~t, first)
+            out[r] = pos.sum(), neg.sum(), (pos * (np.cumsum(neg) - neg / 2)).sum()
+        yield pd.DataFrame({"low_score": v[0], "replicate": np.arange(replicates + 1), "pos": out[:, 0], "neg": out[:, 1], "pairs": out[:, 2]})
+
+    parts = x.repartitionByRange("v").mapInPandas(pairs, "low_score double, replicate int, pos double, neg double, pairs double")
+    below = Window.partitionBy("replicate").orderBy("low_score").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    s = parts.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0.0))).groupBy("replicate").agg(
+        (F.sum(F.col("pairs") + F.col("pos") * F.col("under")) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
+    drawn = F.when(F.col("replicate") > 0, F.col("auc"))
+    n = F.count(drawn)
+    return s.agg(F.max(F.when(F.col("replicate") == 0, F.col("auc"))).alias("roc_auc"), F.when(n >= least, F.percentile(drawn, (1 - level) / 2)).alias("low"),
+                 F.when(n >= least, F.percentile(drawn, (1 + level) / 2)).alias("high"), n.alias("n_replicates"))
+
+
 def vectors(df: DataFrame, array: str, label: Column) -> DataFrame:
     """features and label for Spark ML."""
     from pyspark.ml.functions import array_to_vector
@@ -131,5 +171,14 @@ def folds(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(n)).cast("int"))
 
 
+def stratified_folds(df: DataFrame, key: str, label: str, most: int = 10) -> tuple[DataFrame, int]:
+    """Folds of equal class shares by order of hash, and their number: most, or the least class size, or two."""
+    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    n = max(2, min(most, least or 0))
+    x = df.withColumn("_h", F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)).cast("double"))
+    r = running(x.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("c")), [label], "_h", ["c"])
+    return x.join(r, [label, "_h"]).withColumn("fold", F.pmod(F.col("c_before"), F.lit(n)).cast("int")).drop("_h", "c", "c_before"), n
+
+
 def top_by(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

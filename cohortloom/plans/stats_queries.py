@@ -12,6 +12,7 @@ from cohortloom.operators import relational as rel
 from cohortloom.operators.quantiles import exact_quantiles
 from cohortloom.plans.omics_queries import M_SQL, S_SQL, measured, per_sample, r6
 from cohortloom.plans.registry import Register
+from cohortloom.session import cut
 
 R = Register()
 
@@ -139,7 +140,8 @@ def _(t):
 
 @R.query("q_tst_16")
 def _(t):
-    return ml.bootstrap_means(measured(t), "event_id", "value", 200)
+    """Interval of the ROC area from 1000 resamples."""
+    return ml.bootstrap_auc(scores(t), "vec_id", "score", F.col("truth"))
 
 
 @q("q_tst_17", M_SQL + ", a as (select feature, count(value)::double as n, avg(value) as mu from m group by 1), b as (select m.feature, max(n) as n, avg((value - mu) ^ 3) / avg((value - mu) ^ 2) ^ 1.5 as g from m join a on m.feature = a.feature where value is not null group by 1) select feature, round(g, 6) as skew_population, round(g * sqrt(n * (n - 1)) / (n - 2), 6) as skew_corrected from b")
@@ -406,9 +408,11 @@ def _(t):
 @R.query("q_ml_06")
 def _(t):
     """Cross-validated metrics by fold."""
-    x = ml.folds(ml.vectors(t("embeddings"), "embedding", F.col("label") < 5).select("vec_id", "features", "label"), "vec_id", 4)
+    v = ml.vectors(t("embeddings"), "embedding", F.col("label") < 5).select("vec_id", "features", "label")
+    f, n = ml.stratified_folds(v.select("vec_id", "label"), "vec_id", "label")
+    x = cut(v.join(f.select("vec_id", "fold"), "vec_id"))  # each fold fits anew
     out = None
-    for k in range(4):
+    for k in range(n):
         m = ml.metrics(ml.scored(x.where(F.col("fold") != k), x.where(F.col("fold") == k)), [], "score", F.col("label") == 1).select(F.lit(k).alias("fold"), "*")
         out = m if out is None else out.unionByName(m)
     return out

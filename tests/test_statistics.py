@@ -98,3 +98,24 @@ def test_split_and_permutation(spark):
     assert modelling.permutation_p(rep).first()["p_value"] == 0.0
     b = modelling.bootstrap_means(df, "id", "v", 100).first()
     assert b["low"] < df.agg(F.avg("v")).first()[0] < b["high"]
+
+
+def test_interval_of_the_roc_area(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 400)
+    v = np.round(y + rng.normal(0, 1.5, 400), 1)  # with ties
+    df = spark.createDataFrame([(i, float(a), bool(b)) for i, (a, b) in enumerate(zip(v, y))], "id long, s double, y boolean")
+    b = modelling.bootstrap_auc(df, "id", "s", F.col("y")).first()
+    auc = lambda s, t: np.mean((np.sign(s[t == 1][:, None] - s[t == 0]) + 1) / 2)
+    assert b["n_replicates"] == 1000 and b["roc_auc"] == pytest.approx(auc(v, y))
+    drawn = [auc(v[i], y[i]) for i in (rng.integers(0, 400, 400) for _ in range(200))]
+    assert np.allclose([b["low"], b["high"]], np.percentile(drawn, [2.5, 97.5]), atol=0.02)
+    one = modelling.bootstrap_auc(df.where("y"), "id", "s", F.col("y")).first()
+    assert one["low"] is None and one["n_replicates"] == 0
+
+
+def test_folds_are_stratified_and_capped(spark):
+    df = spark.createDataFrame([(i, i % 5 == 0) for i in range(500)], "id long, y boolean")
+    x, n = modelling.stratified_folds(df, "id", "y")
+    assert n == 10 and {(r["fold"], r["y"]): r["count"] for r in x.groupBy("fold", "y").count().collect()} == {(k, y): 10 if y else 40 for k in range(10) for y in (True, False)}
+    assert modelling.stratified_folds(df.where("not y or id < 15"), "id", "y")[1] == 3

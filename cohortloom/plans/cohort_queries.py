@@ -224,9 +224,13 @@ def p7_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_loads(spark: SparkSession, d: str) -> DataFrame:
-    """Figures and issues of npx, batch and group_label per load."""
+    """Figures and issues of npx, batch and group_label per load, the classifier's figures beside them."""
+    return _loads(spark, d, True)
+
+
+def _loads(spark: SparkSession, d: str, classifier: bool) -> DataFrame:
     readings, rows = _reading_rows(spark, d), _sample_rows(spark, d)
-    in_readings, in_samples = (cut(x) for x in _drift(readings, rows))  # a few rows per load
+    in_readings, in_samples = (cut(x) for x in _drift(readings, rows)) if classifier else (None, None)  # a few rows per load
     v, b, g = F.col("v"), F.col("batch"), F.col("group_label")
     npx = quality.number_issues(readings, "lab_code", "load_id", "npx", F.col("missing"), v.isNotNull(), F.when(v != 0, v), in_readings,
                                 missing_over=0.15, bad_over=0.05, low=-10, high=30, outside_over=0.02, distinct_under=0.2, median_off=1.2, spread_over=2)
@@ -236,7 +240,8 @@ def p7_loads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_loads(spark, d).select("table_name", "column_name", "load_id", F.explode("issues").alias("issue"))
+    """The issues alone; they follow from the exact rules and need no classifier."""
+    return _loads(spark, d, False).select("table_name", "column_name", "load_id", F.explode("issues").alias("issue"))
 
 
 def p7_profile(spark: SparkSession, d: str) -> DataFrame:

@@ -98,3 +98,13 @@ def test_profile_has_the_change_of_every_column_by_lab_and_load(spark):
     assert p["lab", "L0", "subgroup"]["loss"] > 0.2 and p["lab", "L0", "subgroup"]["gap"] > 0.9 and p["lab", "L0", "batch"]["gap"] == 0
     assert p["lab", "L1", "sample_gest_age"]["loss"] > 0.1 and p["lab", "L1", "sample_gest_age"]["gap"] > 0.7
     assert abs(p["lab", "L2", "gest_age_delivery"]["loss"]) < 0.05 and all(r["auc"] is not None for r in p.values())
+
+
+def test_shift_follows_the_rule_whatever_the_classifier_says(spark):
+    rows = [("lab", f"L{k}", float(9 + 2 * (k == 0) + i / 100)) for k in range(4) for i in range(50)]
+    df = spark.createDataFrame(rows, "lab string, load string, v double")
+    blind = spark.createDataFrame([("lab", f"L{k}", "v", 0.5, 0.0) for k in range(4)], "lab string, load string, column_name string, auc double, loss double")
+    rules = dict(missing_over=0.15, bad_over=0.05, low=-10, high=30, outside_over=0.02, distinct_under=0.2, median_off=1.2, spread_over=2)
+    for drift in (blind, None):
+        got = quality.number_issues(df, "lab", "load", "v", F.col("v").isNull(), F.lit(True), F.col("v"), drift, **rules).collect()
+        assert {r["load_id"]: r["issues"] for r in got} == {"L0": ["shift"], "L1": [], "L2": [], "L3": []}

@@ -1,10 +1,14 @@
 """Schemas that drift between files (problem 2).
 
 Method: each file gets a fingerprint of its fields and types; along a series the fingerprints are numbered as schema
-versions, and between neighbouring files explicit migration steps are derived: rename, default (added), drop (removed)
+versions. Where the fingerprint changes, explicit migration steps are derived: rename, default (added), drop (removed)
 and cast (type changed). A rename is proved by values: records that a file repeats from the one before are found by
-the rare values they share, and a field that went and a field that came are one if their values in those records
-agree. Lines are then routed through the chained renames and casts into one table.
+keys that stand for one record on either side, and a field that went and a field that came are one if their values in
+those records agree. Every line is then routed through the renames of its own series, from its own file on, and
+through the casts of the table's columns; what cannot be cast is recorded beside the line.
+
+Lines are parsed once. All comparing of files is done on one row per file; of lines only hashes are shuffled, a number
+of them in proportion to the fields.
 """
 
 from __future__ import annotations
@@ -19,20 +23,17 @@ from cohortloom.session import cut
 SERIES = ["export_name", "site_code"]
 #: Share of the repeated records in which a renamed field's values must agree.
 AGREE = 0.8
+#: Values of a line that serve as keys, the longest first, beside the key of all fields that kept their names.
+VALUE_KEYS = 8
+#: What the key of all kept fields counts among the keys that speak for a pair of records, and the least they must give.
+NAMED_KEY, LEAST_KEYS = 4, 2
 #: The most field names that one table is built from.
 MOST_FIELDS = 5000
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Lines with their payload as a variant; null where the payload is no JSON object."""
-    v = F.try_parse_json("payload")
-    return lines.withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
-
-
-def cells(lines: DataFrame, *keep: str) -> DataFrame:
-    """One row per line and field: name, JSON type (null for null) and the value as a variant."""
-    cols = ", ".join(keep)
-    return lines.sparkSession.sql(f"select {cols}, t.key as field, t.value as value from {{x}}, lateral variant_explode(v) t", x=parsed(lines).where("v is not null")).withColumn("kind", _kind(F.schema_of_variant("value")))
+    """Lines with their payload as a map of variants; null where the payload is no JSON object."""
+    return lines.withColumn("m", F.from_json("payload", "map<string,variant>"))
 
 
 def _kind(schema: Column) -> Column:
@@ -41,7 +42,9 @@ def _kind(schema: Column) -> Column:
 
 
 def _text(value: Column) -> Column:
-    return F.coalesce(F.expr("case when schema_of_variant(value) like 'OBJECT%' then try_variant_get(value, '$.value', 'string') end"), value.cast("string"))
+    """A value as text; of an object its ``value`` if it has one."""
+    inner = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$.value", "string"))
+    return F.coalesce(inner, value.cast("string"))
 
 
 UNIT_NUMBER = r"^\s*[+-]?[0-9][0-9,]*([.][0-9]+)?\s*[A-Za-z/%]*\s*$"
@@ -58,39 +61,41 @@ def as_boolean(text: Column) -> Column:
     return F.when(t.isin("true", "yes", "y", "checked"), True).when(t.isin("false", "no", "n", "unchecked"), False)
 
 
-def tokens(text: Column) -> Column:
-    """Ways to write down one value; two values agree if they share one. ``#`` numbers, ``?`` truth values, else text."""
+def token(text: Column) -> Column:
+    """One number for all ways to write down a value: by its number, its truth value, or its letters and digits."""
     n = F.coalesce(as_number(text), F.regexp_extract(text, CODE_NUMBER, 1).try_cast("double"))
     b = as_boolean(text)
     plain = F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", ""))
-    return F.array_compact(F.array(F.when(n.isNotNull(), F.concat(F.lit("#"), n.cast("string"))), F.when(b.isNotNull(), F.concat(F.lit("?"), b.cast("string"))), F.when(plain != "", plain)))
+    return F.when(n.isNotNull(), F.xxhash64(F.lit("#"), n)).when(b.isNotNull(), F.xxhash64(F.lit("?"), b)).when(plain != "", F.xxhash64(plain))
 
 
-def files_of(lines: DataFrame) -> DataFrame:
-    """Files of each series in order of export."""
-    f = lines.groupBy(*SERIES, "file_name").agg(F.min("exported_at").alias("exported_at"), F.count(F.lit(1)).alias("n_lines"))
-    return f.withColumn("seq", F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.col("exported_at").asc_nulls_first(), "file_name")))
+def read_cells(lines: DataFrame) -> DataFrame:
+    """All lines with their cells ``(field, kind, token, length)``, parsed once. Of a name given twice the first counts."""
+    value = lambda k: F.try_element_at(F.col("m"), k)
+    typed = F.transform(F.array_distinct(F.map_keys("m")), lambda k: F.struct(k.alias("field"), _kind(F.schema_of_variant(value(k))).alias("kind"), _text(value(k)).alias("text")))
+    cells = F.transform("c", lambda c: F.struct(c["field"].alias("field"), c["kind"].alias("kind"), F.when(c["kind"].isNotNull(), token(c["text"])).alias("token"), F.length(c["text"]).alias("length")))
+    return cut(parsed(lines).select(*SERIES, "file_name", "exported_at", typed.alias("c")).select(*SERIES, "file_name", "exported_at", cells.alias("cells")))
 
 
-def tokenized(lines: DataFrame) -> DataFrame:
-    """All cells with their type and tokens, parsed once."""
-    return cut(cells(lines, *SERIES, "file_name", "raw_id").select(*SERIES, "file_name", "raw_id", "field", "kind", F.when(F.col("kind").isNotNull(), tokens(_text(F.col("value")))).alias("t")))
-
-
-def fields_of(read: DataFrame) -> DataFrame:
-    """Fields of each file with the type of most non-null values (ties: first by name)."""
-    per = read.groupBy(*SERIES, "file_name", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy(*SERIES, "file_name", "field").agg(
-        F.min_by("kind", F.when(F.col("kind").isNotNull(), F.struct(-F.col("n"), F.col("kind")))).alias("kind"), F.sum("n").alias("n_lines"), F.sum(F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)).alias("n_values"))
+def files_of(read: DataFrame) -> DataFrame:
+    """One row per file in its series: seq, lines, schema (fields with the type of most non-null values, ties: first by
+    name), fingerprint, version and the schema before."""
+    flat = read.select(*SERIES, "file_name", "exported_at", F.posexplode_outer("cells").alias("at", "c")).groupBy(*SERIES, "file_name", F.col("c.field").alias("field")).agg(
+        F.min("exported_at").alias("exported_at"), F.count_if(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("n_lines"), F.count("c").alias("n"),
+        *(F.count_if(F.col("c.kind") == k).alias(k) for k in ("boolean", "number", "object", "text")))
+    ranked = F.array_sort(F.array_compact(F.array(*(F.when(F.col(k) > 0, F.struct((-F.col(k)).alias("n"), F.lit(k).alias("kind"))) for k in ("boolean", "number", "object", "text")))))
+    field = F.struct("field", F.get(ranked, F.lit(0))["kind"].alias("kind"))
+    f = flat.groupBy(*SERIES, "file_name").agg(F.min("exported_at").alias("exported_at"), F.sum("n_lines").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), field))).alias("schema"))
+    w = Window.partitionBy(*SERIES).orderBy(F.col("exported_at").asc_nulls_first(), "file_name")
+    prints = F.transform("schema", lambda x: F.concat_ws(":", x["field"], F.coalesce(x["kind"], F.lit("none"))))
+    f = f.withColumn("fingerprint", F.when(F.size("schema") > 0, F.sha2(F.array_join(prints, "|"), 256)).otherwise(""))
+    f = f.withColumn("seq", F.row_number().over(w)).withColumn("before", F.lag("schema").over(w)).withColumn("_new", F.when(F.lag("fingerprint").over(w).eqNullSafe(F.col("fingerprint")), 0).otherwise(1))
+    return f.withColumn("version", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def versions(lines: DataFrame) -> DataFrame:
     """Each file with its schema fingerprint and version: the number of changes of fingerprint so far in its series."""
-    prints = fields_of(cells(lines, *SERIES, "file_name")).groupBy(*SERIES, "file_name").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "field", F.coalesce("kind", F.lit("none"))))), "|"), 256).alias("fingerprint"))
-    w = Window.partitionBy(*SERIES).orderBy("seq")
-    f = files_of(lines).join(_safe(prints, ["file_name"]), _on(SERIES + ["file_name"], "_"), "left").select(*SERIES, "file_name", "exported_at", "n_lines", "seq", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
-    new = F.when(F.lag("fingerprint").over(w).eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
-    return f.withColumn("_new", new).withColumn("version", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return files_of(read_cells(lines)).select(*SERIES, "file_name", "exported_at", "n_lines", "seq", "fingerprint", "version")
 
 
 def _safe(df: DataFrame, extra: list[str]) -> DataFrame:
@@ -105,46 +110,84 @@ def _on(cols: list[str], prefix: str) -> Column:
     return out
 
 
-def _steps(f: DataFrame, fields: DataFrame) -> DataFrame:
-    """Per boundary (a file and the one before it) and field: kinds before and after, null struct where absent."""
-    at = fields.join(_safe(f, ["file_name"]), _on(SERIES + ["file_name"], "_")).select(*SERIES, "seq", "field", "kind")
-    after = at.where("seq > 1").select(*SERIES, "seq", "field", F.struct("kind").alias("after"), F.lit(None).cast("struct<kind:string>").alias("before"))
-    last = f.groupBy(*SERIES).agg(F.max("seq").alias("n"))
-    before = at.join(_safe(last, []), _on(SERIES, "_")).where("seq < n").select(*SERIES, (F.col("seq") + 1).alias("seq"), "field", F.lit(None).cast("struct<kind:string>").alias("after"), F.struct("kind").alias("before"))
-    return after.unionByName(before).groupBy(*SERIES, "seq", "field").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+def _steps(files: DataFrame) -> DataFrame:
+    """The migration steps of each file whose fingerprint differs from the one before: fields gone, come and kept."""
+    names = lambda c: F.transform(c, lambda x: x["field"])
+    after, before = names(F.col("schema")), names(F.col("before"))
+    w = Window.partitionBy(*SERIES).orderBy("seq")
+    s = files.withColumn("_was", F.lag("fingerprint").over(w)).withColumn("moved", F.col("before").isNotNull() & (F.col("_was") != F.col("fingerprint")))
+    return s.select(*SERIES, F.xxhash64(*SERIES).alias("sid"), "file_name", "seq", "moved", "schema", "before", F.when(F.col("moved"), F.array_except(before, after)).alias("gone"),
+                    F.when(F.col("moved"), F.array_except(after, before)).alias("come"), F.when(F.col("moved"), F.array_sort(F.array_intersect(before, after))).alias("kept"))
+
 
+def renames(read: DataFrame, steps: DataFrame) -> DataFrame:
+    """Proved renames: series, seq of the later file, old and new field, records compared and in agreement.
 
-def renames(read: DataFrame, f: DataFrame, steps: DataFrame) -> DataFrame:
-    """Proved renames: series, seq of the later file, old and new field, records compared and in agreement."""
-    gone, come = F.col("before").isNotNull() & F.col("after").isNull(), F.col("before").isNull() & F.col("after").isNotNull()
-    open_ = steps.groupBy(*SERIES, "seq").agg(F.collect_set(F.when(gone, F.col("field"))).alias("old"), F.collect_set(F.when(come, F.col("field"))).alias("new")).where("size(old) > 0 and size(new) > 0")
+    Records are compared where the scarcer of the two fields has a value.
+    """
+    open_ = F.col("moved") & (F.size("gone") > 0) & (F.size("come") > 0)
+    w = Window.partitionBy(*SERIES).orderBy("seq")
+    role = lambda seq, side, wanted, kept: F.struct(seq.alias("seq"), F.lit(side).alias("side"), wanted.alias("wanted"), kept.alias("kept"))
+    c = F.col
     # a line takes part in the boundary before its file and in the one after it
-    sides = open_.select(*SERIES, "seq", F.col("seq").alias("of"), F.lit(1).alias("side"), F.col("new").alias("wanted")).unionByName(
-        open_.select(*SERIES, "seq", (F.col("seq") - 1).alias("of"), F.lit(0).alias("side"), F.col("old").alias("wanted")))
-    role = f.withColumnRenamed("seq", "of").join(_safe(sides, ["of"]), _on(SERIES + ["of"], "_")).select(*SERIES, "file_name", "seq", "side", "wanted")
-    per_line = read.where("kind is not null").groupBy(*SERIES, "file_name", "raw_id").agg(
-        F.array_sort(F.collect_list(F.struct("field", "t"))).alias("cells"))
-    rare = F.array_sort(F.array_distinct(F.filter(F.flatten(F.col("cells.t")), lambda x: x.rlike(r"^#[0-9]{4,}[.]|^[a-z]*[0-9]{5,}[a-z0-9]*$"))))
-    at = per_line.join(_safe(role, ["file_name"]), _on(SERIES + ["file_name"], "_")).select(*SERIES, "seq", "side", "raw_id", F.filter("cells", lambda c: F.array_contains("wanted", c["field"])).alias("cells"), rare.alias("rare"))
-    # a repeated line within a file counts once
-    once = cut(at.groupBy(*SERIES, "seq", "side", "rare", "cells").agg(F.min("raw_id").alias("rec")))
-    keys = once.select(*SERIES, "seq", "side", "rec", F.explode(F.when(F.size("rare") < 2, F.col("rare")).otherwise(
-        F.flatten(F.transform("rare", lambda a: F.transform(F.filter("rare", lambda b: b > a), lambda b: F.concat_ws("~", a, b)))))).alias("k"))
+    roles = steps.withColumn("_open", open_).withColumns({f"_{k}": F.lead(k).over(w) for k in ("gone", "kept", "seq")} | {"_next": F.coalesce(F.lead("_open").over(w), F.lit(False))}).select(
+        *(c(k).alias(f"_{k}") for k in SERIES), c("file_name").alias("_file_name"), "sid",
+        F.array_compact(F.array(F.when(c("_open"), role(c("seq"), 1, c("come"), c("kept"))), F.when(c("_next"), role(c("_seq"), 0, c("_gone"), c("_kept"))))).alias("roles")).where(F.size("roles") > 0)
+    at = read.where("cells is not null").join(roles, _on(SERIES + ["file_name"], "_")).select("sid", F.explode("roles").alias("r"), "cells").select("sid", "r.*", "cells")
+    value = lambda f: F.get(F.filter("cells", lambda x: x["field"] == f), F.lit(0))["token"]
+    long_first = F.transform(F.array_sort(F.transform(F.filter("cells", lambda x: x["token"].isNotNull()), lambda x: F.struct((-x["length"]).alias("l"), x["token"].alias("t")))), lambda x: x["t"])
+    named = F.when(F.size("kept") > 0, F.xxhash64(F.lit("kept"), F.transform("kept", value)))
+    keys = F.concat(F.array_compact(F.array(F.struct(named.alias("k"), F.lit(NAMED_KEY).alias("says")))), F.transform(F.slice(F.array_distinct(long_first), 1, VALUE_KEYS), lambda t: F.struct(t.alias("k"), F.lit(1).alias("says"))))
+    # equal lines of a file are one record, named by the hash of its cells
+    rec = F.xxhash64(F.transform("cells", lambda x: F.struct(x["field"], x["token"])))
+    once = cut(at.select("sid", "seq", "side", rec.alias("rec"), F.transform("wanted", value).alias("w"), keys.alias("keys")))
+    told = once.select("sid", "seq", "side", "rec", F.explode("keys").alias("k")).select("sid", "seq", "side", "rec", "k.*").where("k is not null")
+    of = lambda s: F.when(c("side") == s, c("rec"))
     # only keys that stand for one record on either side pair records, so nothing is multiplied out
-    single = keys.groupBy(*SERIES, "seq", "side", "k").agg(F.count(F.lit(1)).alias("c"), F.min("rec").alias("rec")).where("c = 1").groupBy(*SERIES, "seq", "k").agg(
-        F.max(F.when(F.col("side") == 0, F.col("rec"))).alias("r0"), F.max(F.when(F.col("side") == 1, F.col("rec"))).alias("r1")).where("r0 is not null and r1 is not null")
-    pairs = single.groupBy(*SERIES, "seq", "r1", "r0").agg(F.count(F.lit(1)).alias("shared")).groupBy(*SERIES, "seq", "r1").agg(F.max_by("r0", F.struct("shared", "r0")).alias("r0"))
-    side = lambda s, name: once.where(F.col("side") == s).select(*(F.col(c).alias(f"_{c}") for c in SERIES), F.col("seq").alias("_seq"), F.col("rec").alias(f"_r{s}"), F.col("cells").alias(name))
-    both = pairs.join(side(0, "c0"), _on(SERIES + ["seq", "r0"], "_")).select(*SERIES, "seq", "r1", "c0").join(side(1, "c1"), _on(SERIES + ["seq", "r1"], "_")).select(*SERIES, "seq", "c0", "c1")
-    seen = both.select(*SERIES, "seq", F.explode("c0").alias("o"), "c1").select(*SERIES, "seq", "o", F.explode("c1").alias("n")).groupBy(
-        *SERIES, "seq", F.col("o.field").alias("old_field"), F.col("n.field").alias("new_field")).agg(F.count(F.lit(1)).alias("n_compared"), F.sum(F.arrays_overlap("o.t", "n.t").cast("int")).alias("n_agree"))
-    plain = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    likeness = -F.levenshtein(plain(F.col("old_field")), plain(F.col("new_field")))
-    good = seen.where(F.col("n_agree") >= AGREE * F.col("n_compared")).withColumn("rank", F.struct("n_agree", likeness, "old_field", "new_field"))
+    single = told.groupBy("sid", "seq", "k", "says").agg(F.min(of(0)).alias("r0"), F.max(of(0)).alias("m0"), F.min(of(1)).alias("r1"), F.max(of(1)).alias("m1")).where("r0 = m0 and r1 = m1")
+    votes = single.groupBy("sid", "seq", "r0", "r1").agg(F.sum("says").alias("says")).where(c("says") >= LEAST_KEYS)
+    pairs = votes.groupBy("sid", "seq", "r1").agg(F.max(F.struct("says", "r0")).alias("b")).groupBy("sid", "seq", c("b.r0").alias("r0")).agg(F.max(F.struct(c("b.says").alias("says"), "r1")).alias("b")).select("sid", "seq", "r0", c("b.r1").alias("r1"))
+    side = lambda s: once.where(c("side") == s).groupBy("sid", "seq", c("rec").alias(f"r{s}")).agg(F.first("w").alias(f"w{s}"))
+    both = pairs.join(side(0), ["sid", "seq", "r0"]).join(side(1), ["sid", "seq", "r1"])
+    # one row per field with a value (other side -1) and one per two fields that agree, counted map-side
+    there = lambda a, old: F.array_compact(F.transform(F.col(a), lambda t, i: F.when(t.isNotNull(), F.struct((i if old else F.lit(-1)).alias("o"), (F.lit(-1) if old else i).alias("n")))))
+    equal = F.flatten(F.transform("w0", lambda t, i: F.array_compact(F.transform("w1", lambda u, j: F.when(t == u, F.struct(i.alias("o"), j.alias("n")))))))
+    counts = both.select("sid", "seq", F.explode(F.concat(there("w0", True), there("w1", False), equal)).alias("x")).groupBy("sid", "seq", "x.o", "x.n").agg(F.count(F.lit(1)).alias("c"))
+    agree = counts.where("o >= 0 and n >= 0").select("sid", "seq", "o", "n", c("c").alias("n_agree"))
+    olds, news = counts.where("n < 0").select("sid", "seq", "o", c("c").alias("c0")), counts.where("o < 0").select("sid", "seq", "n", c("c").alias("c1"))
+    seen = agree.join(olds, ["sid", "seq", "o"]).join(news, ["sid", "seq", "n"]).join(steps.select(*SERIES, "sid", "seq", "gone", "come"), ["sid", "seq"]).select(
+        *SERIES, "seq", F.get("gone", c("o")).alias("old_field"), F.get("come", c("n")).alias("new_field"), F.least("c0", "c1").alias("n_compared"), "n_agree")
+    plain = lambda x: F.lower(F.regexp_replace(x, "[^A-Za-z0-9]", ""))
+    likeness = -F.levenshtein(plain(c("old_field")), plain(c("new_field")))
+    good = seen.where(c("n_agree") >= AGREE * c("n_compared")).withColumn("rank", F.struct("n_agree", likeness, "old_field", "new_field"))
     best = lambda f: F.row_number().over(Window.partitionBy(*SERIES, "seq", f).orderBy(F.desc("rank"))) == 1
     return good.withColumn("a", best("old_field")).withColumn("b", best("new_field")).where("a and b").select(*SERIES, "seq", "old_field", "new_field", "n_compared", "n_agree")
 
 
+def _migrations(read: DataFrame) -> DataFrame:
+    """Files with their steps, the proved renames gathered beside them; one row per file."""
+    steps = cut(_steps(files_of(read)))
+    moved = renames(read, steps).groupBy(*SERIES, "seq").agg(F.collect_list(F.struct("old_field", "new_field", "n_compared", "n_agree")).alias("renamed"))
+    return steps.join(_safe(moved, ["seq"]), _on(SERIES + ["seq"], "_"), "left").select(*steps.columns, "renamed")
+
+
+def _changes(migrations: DataFrame) -> DataFrame:
+    c = F.col
+    kind = lambda schema, f: F.get(F.filter(schema, lambda x: x["field"] == f), F.lit(0))["kind"]
+    none, text = F.lit(None).cast("long"), F.lit("")
+    one = lambda what, old, new, a, b, n=none, k=none: F.struct(F.lit(what).alias("change_kind"), old.alias("old_field"), new.alias("new_field"), a.cast("string").alias("old_type"), b.cast("string").alias("new_type"), n.alias("n_compared"), k.alias("n_agree"))
+    ren = F.coalesce("renamed", F.array().cast("array<struct<old_field:string,new_field:string,n_compared:bigint,n_agree:bigint>>"))
+    x = migrations.where("moved").withColumn("renamed", ren)
+    old_of, new_of = F.transform("renamed", lambda r: r["old_field"]), F.transform("renamed", lambda r: r["new_field"])
+    added = F.transform(F.array_except("come", new_of), lambda f: one("added", text, f, F.lit(None), kind("schema", f)))
+    removed = F.transform(F.array_except("gone", old_of), lambda f: one("removed", f, text, kind("before", f), F.lit(None)))
+    renamed = F.transform("renamed", lambda r: one("renamed", r["old_field"], r["new_field"], kind("before", r["old_field"]), kind("schema", r["new_field"]), r["n_compared"], r["n_agree"]))
+    cast_kept = F.transform("kept", lambda f: one("type_changed", f, f, kind("before", f), kind("schema", f)))
+    cast_moved = F.transform("renamed", lambda r: one("type_changed", r["old_field"], r["new_field"], kind("before", r["old_field"]), kind("schema", r["new_field"]), r["n_compared"], r["n_agree"]))
+    casts = F.filter(F.concat(cast_kept, cast_moved), lambda s: s["old_type"].isNotNull() & s["new_type"].isNotNull() & (s["old_type"] != s["new_type"]))
+    return x.select(*SERIES, "file_name", "seq", F.explode(F.concat(added, removed, renamed, casts)).alias("s")).select(*SERIES, "file_name", "seq", c("s.*"))
+
+
 def changes(lines: DataFrame) -> DataFrame:
     """Every change of a file against the file before it in its series.
 
@@ -153,52 +196,45 @@ def changes(lines: DataFrame) -> DataFrame:
     payloads included, have no fields; the first file of a series has no change. Null names of exports, sites and
     files are values like others.
     """
-    names = cut(files_of(lines).select(*SERIES, "file_name", "seq"))
-    read = tokenized(lines)
-    steps = cut(_steps(names, fields_of(read)))
-    moved = cut(renames(read, names, steps))
-    kinds = lambda side, field: steps.where(F.col(side).isNotNull()).select(*(F.col(c).alias(f"_{c}") for c in SERIES), F.col("seq").alias("_seq"), F.col("field").alias(f"_{field}"), F.col(f"{side}.kind").alias(f"{side}_kind"))
-    ren = moved.join(kinds("before", "old_field"), _on(SERIES + ["seq", "old_field"], "_")).select(*moved.columns, "before_kind").join(
-        kinds("after", "new_field"), _on(SERIES + ["seq", "new_field"], "_")).select(*moved.columns, "before_kind", "after_kind")
-    spoken = ren.select(*SERIES, "seq", F.explode(F.array(F.struct(F.col("old_field").alias("f"), F.lit(0).alias("s")), F.struct(F.col("new_field").alias("f"), F.lit(1).alias("s")))).alias("x")).select(*(F.col(c).alias(f"_{c}") for c in SERIES), F.col("seq").alias("_seq"), F.col("x.f").alias("_field"), F.col("x.s").alias("_side"))
-    lone = steps.where(F.col("before").isNull() != F.col("after").isNull()).withColumn("side", F.col("before").isNull().cast("int")).join(spoken, _on(SERIES + ["seq", "field", "side"], "_"), "left_anti")
-    none, text = F.lit(None).cast("long"), F.lit("")
-    out = lone.select(*SERIES, "seq", F.when(F.col("side") == 1, "added").otherwise("removed").alias("change_kind"), F.when(F.col("side") == 1, text).otherwise(F.col("field")).alias("old_field"), F.when(F.col("side") == 1, F.col("field")).otherwise(text).alias("new_field"),
-                      F.col("before.kind").alias("old_type"), F.col("after.kind").alias("new_type"), none.alias("n_compared"), none.alias("n_agree"))
-    out = out.unionByName(ren.select(*SERIES, "seq", F.lit("renamed").alias("change_kind"), "old_field", "new_field", F.col("before_kind").alias("old_type"), F.col("after_kind").alias("new_type"), "n_compared", "n_agree"))
-    differ = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
-    out = out.unionByName(ren.where(differ("before_kind", "after_kind")).select(*SERIES, "seq", F.lit("type_changed").alias("change_kind"), "old_field", "new_field", F.col("before_kind").alias("old_type"), F.col("after_kind").alias("new_type"), "n_compared", "n_agree"))
-    out = out.unionByName(steps.where(differ("before.kind", "after.kind")).select(*SERIES, "seq", F.lit("type_changed").alias("change_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"), F.col("before.kind").alias("old_type"), F.col("after.kind").alias("new_type"), none.alias("n_compared"), none.alias("n_agree")))
-    return out.join(_safe(names, ["seq"]), _on(SERIES + ["seq"], "_")).select(*SERIES, "file_name", "seq", "change_kind", "old_field", "new_field", "old_type", "new_type", "n_compared", "n_agree")
+    return _changes(_migrations(read_cells(lines)))
 
 
 # ---- one table
 
 
-def canonical_names(names: dict[str, int], moved: list[tuple[str, str]]) -> dict[str, str]:
-    """Field name -> canonical name: names that are one after chained renames, or but for case and punctuation."""
-    plain = {n: re.sub(r"[^a-z0-9]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", n).lower()).strip("_") or "field" for n in names}
-    parent = {n: n for n in names}
+def plain_name(name: str) -> str:
+    """A field name as a column name: words in lower case, joined by underscores."""
+    return re.sub(r"[^a-z0-9]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()).strip("_") or "field"
+
 
-    def root(n: str) -> str:
-        while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
+def pooled_names(names: dict[str, int], moved: list[tuple[str, str]], together: set[tuple[str, str]]) -> dict[str, str]:
+    """Field name -> column, over all series.
+
+    Names that differ in case and punctuation only, and names that some series renamed into one another, share a
+    column, unless any names of the two groups ever stand in one file (``together``): those mean different things.
+    Renames seen in more series come first in ``moved``.
+    """
+    plain = {n: plain_name(n) for n in names}
+    group: dict[str, set[str]] = {n: {n} for n in names}
+    apart = together | {(b, a) for a, b in together}
+
+    def unite(a: str, b: str) -> None:
+        ga, gb = group[a], group[b]
+        if ga is gb or any((x, y) in apart for x in ga for y in gb):
+            return
+        ga |= gb
+        for n in gb:
+            group[n] = ga
 
     first: dict[str, str] = {}
     for n in sorted(names):
-        other = first.setdefault(plain[n].replace("_", ""), n)
-        parent[root(n)] = root(other)
+        unite(first.setdefault(plain[n].replace("_", ""), n), n)
     for a, b in moved:
-        if a in parent and b in parent:
-            parent[root(a)] = root(b)
-    groups: dict[str, list[str]] = {}
-    for n in names:
-        groups.setdefault(root(n), []).append(n)
+        if a in names and b in names:
+            unite(a, b)
     taken: set[str] = set()
     out: dict[str, str] = {}
-    for members in sorted(groups.values(), key=lambda m: min(plain[n] for n in m)):
+    for members in sorted({id(g): sorted(g) for g in group.values()}.values()):
         weight: dict[str, int] = {}
         for n in members:
             weight[plain[n]] = weight.get(plain[n], 0) + names[n]
@@ -211,49 +247,73 @@ def canonical_names(names: dict[str, int], moved: list[tuple[str, str]]) -> dict
     return out
 
 
+def routes(migrations: DataFrame) -> DataFrame:
+    """Per file: field -> the name it has in the end, after the renames of the series' later files, chained."""
+    w = Window.partitionBy(*SERIES).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    # a series' renames are steps of its schema, not rows: each file sees those after it, in order
+    ahead = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("renamed") > 0, F.struct("seq", "renamed"))).over(w)), lambda x: x["renamed"]))
+    final = lambda f: F.aggregate("ahead", f, lambda at, r: F.when(at == r["old_field"], r["new_field"]).otherwise(at))
+    return migrations.withColumn("ahead", ahead).select(*SERIES, "file_name", F.transform("schema", lambda x: F.struct(x["field"].alias("field"), final(x["field"]).alias("final"))).alias("route"))
+
+
 def one_table(lines: DataFrame) -> DataFrame:
     """All lines with the same typed fields, and the schema version they came in.
 
-    A field becomes number, boolean, date or text by how most of its values over all files can be read; a value that
-    cannot be read so becomes null, an absent field takes null as default, and codes written as bare numbers in some
-    files get their form from the others. ``readable`` is false for lines without a JSON object; they stay as rows.
-    Repeated lines stay repeated. Names of the own columns are kept apart from equal field names by a trailing _field.
+    Each file's fields take the names that the chained renames of its own series give them; over series, names are
+    pooled only if they never stand in one file. A column becomes number, boolean, date or text by how most of its
+    values over all files can be read; an absent field takes null as default, a value that cannot be read becomes null
+    and its column is listed in ``failed_casts``, and codes written as bare numbers in some files get their form from
+    the others. Should two fields of one line meet in a column after all, the first by name is kept and the column is
+    listed in ``clashes``. ``readable`` is false for lines without a JSON object; they stay as rows. Repeated lines stay
+    repeated. Names of the own columns are kept apart from equal field names by a trailing _field.
     """
+    read = read_cells(lines)
+    migrations = cut(_migrations(read))
+    route = cut(routes(migrations))
+    finals = route.select(F.explode(F.array_distinct(F.transform("route", lambda x: x["final"]))).alias("f"), F.array_distinct(F.transform("route", lambda x: x["final"])).alias("with"))
+    known = finals.groupBy("f").agg(F.count(F.lit(1)).alias("n")).limit(MOST_FIELDS + 1).collect()
+    if len(known) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} field names: no table can hold them")
+    names = {r["f"]: r["n"] for r in known}
+    # both lists are pairs of the names above
+    moved = [(r["old_field"], r["new_field"]) for r in migrations.select(F.explode("renamed").alias("r")).select("r.*").groupBy("old_field", "new_field").count().orderBy(F.desc("count"), "old_field", "new_field").collect()]
+    together = {(r["f"], r["g"]) for r in finals.select("f", F.explode("with").alias("g")).where("f < g").distinct().collect()}
+    to = pooled_names(names, moved, together)
+    own = {"raw_id", "export_name", "site_code", "file_name", "line_no", "schema_version", "readable", "failed_casts", "clashes"}
     spark = lines.sparkSession
+    column = F.broadcast(spark.createDataFrame(sorted(to.items()), "_final string, _column string"))  # at most MOST_FIELDS
+    by_file = route.select(*SERIES, "file_name", F.explode("route").alias("x")).join(column, F.col("x.final") == F.col("_final")).groupBy(*SERIES, "file_name").agg(
+        F.map_from_entries(F.collect_list(F.struct("x.field", "_column"))).alias("to"))
+    v = files_of(read).select(*SERIES, "file_name", F.col("version").alias("schema_version"))
+    files = v.join(_safe(by_file, ["file_name"]), _on(SERIES + ["file_name"], "_"), "left").select(*v.columns, "to")
+    rows = parsed(lines).join(_safe(files, ["file_name"]), _on(SERIES + ["file_name"], "_"), "left")
+    placed = F.array_sort(F.transform(F.array_distinct(F.map_keys("m")), lambda k: F.struct(F.try_element_at("to", k).alias("c"), k.alias("f"))))
+    filled = F.filter(placed, lambda p: p["c"].isNotNull() & (F.schema_of_variant(F.try_element_at(F.col("m"), p["f"])) != "VOID"))
+    rows = rows.withColumn("p", filled)
+    first = F.filter("p", lambda p, i: (i == 0) | (F.get("p", i - 1)["c"] != p["c"]))
+    texts = F.map_from_entries(F.transform(first, lambda p: F.struct(p["c"], _text(F.try_element_at(F.col("m"), p["f"])))))
+    clashes = F.array_distinct(F.transform(F.filter("p", lambda p, i: (i > 0) & (F.get("p", i - 1)["c"] == p["c"])), lambda p: p["c"]))
+    rows = cut(rows.select("raw_id", *SERIES, "file_name", "line_no", "schema_version", F.col("m").isNotNull().alias("readable"), texts.alias("t"), clashes.alias("clashes")))
     x = F.col("x")
-    read = cells(lines, "raw_id").where("kind is not null").select("field", _text(F.col("value")).alias("x"))
     code = F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9]*-)[0-9]{7}$", 1)
-    facts = read.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(as_number(x).isNotNull().cast("long")).alias("number"), F.sum(as_boolean(x).isNotNull().cast("long")).alias("boolean"),
-        F.sum(x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$").cast("long")).alias("date"), F.sum((code != "").cast("long")).alias("code"), F.max(code).alias("prefix")).limit(MOST_FIELDS + 1).collect()
-    if len(facts) > MOST_FIELDS:
-        raise ValueError(f"more than {MOST_FIELDS} field names: no table can hold them")
-    moved = [(r["old_field"], r["new_field"]) for r in changes(lines).where("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect()]  # pairs of the names above
-    to = canonical_names({r["field"]: r["n"] for r in facts}, moved)
-    own = {"raw_id", "export_name", "site_code", "file_name", "line_no", "schema_version", "readable"}
-    out = []
+    facts = {r["column"]: r for r in rows.select(F.explode("t").alias("column", "x")).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(as_number(x).isNotNull()).alias("number"), F.count_if(as_boolean(x).isNotNull()).alias("boolean"),
+        F.count_if(x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")).alias("date"), F.count_if(code != "").alias("code"), F.max(code).alias("prefix")).collect()}
+    out, failed = [], []
     for name in sorted(set(to.values())):
-        part = [r for r in facts if to[r["field"]] == name]
-        total = {k: sum(r[k] for r in part) for k in ("n", "number", "boolean", "date", "code")}
-        paths = [r["field"] for r in sorted(part, key=lambda r: (-r["n"], r["field"]))]
-        text = F.coalesce(*(_at(p) for p in paths))
-        if total["code"] >= 0.3 * total["n"]:
-            prefix = max(r["prefix"] for r in part)
-            text = F.when(text.rlike("^[0-9]{1,7}$"), F.concat(F.lit(prefix), F.lpad(text, 7, "0"))).otherwise(text)
-        elif total["date"] >= 0.8 * total["n"]:
-            text = text.try_cast("date")
-        elif total["boolean"] >= 0.8 * total["n"]:
-            text = as_boolean(text)
-        elif total["number"] >= 0.8 * total["n"]:
-            text = as_number(text)
-        out.append(text.alias(name + "_field" if name in own else name))
-    v = versions(lines).select(*SERIES, "file_name", F.col("version").alias("schema_version"))
-    rows = parsed(lines).join(_safe(v, ["file_name"]), _on(SERIES + ["file_name"], "_"), "left")
-    return rows.select("raw_id", *SERIES, "file_name", "line_no", "schema_version", F.col("v").isNotNull().alias("readable"), *out)
-
-
-def _at(field: str) -> Column:
-    path = field.replace("\\", "\\\\").replace("'", "\\'")
-    sql = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    inner, outer = sql(f"$['{path}'].value"), sql(f"$['{path}']")
-    return F.expr(f"coalesce(try_variant_get(v, {inner}, 'string'), try_variant_get(v, {outer}, 'string'))")
+        text, r = F.try_element_at("t", F.lit(name)), facts.get(name)
+        value = text
+        if r and r["code"] >= 0.3 * r["n"]:
+            value = F.when(text.rlike("^[0-9]{1,7}$"), F.concat(F.lit(r["prefix"]), F.lpad(text, 7, "0"))).otherwise(text)
+        elif r and r["date"] >= 0.8 * r["n"]:
+            value = text.try_cast("date")
+        elif r and r["boolean"] >= 0.8 * r["n"]:
+            value = as_boolean(text)
+        elif r and r["number"] >= 0.8 * r["n"]:
+            value = as_number(text)
+        shown = name + "_field" if name in own else name
+        out.append(value.alias(shown))
+        if value is not text:
+            failed.append(F.when(text.isNotNull() & value.isNull(), F.lit(shown)))
+    return rows.select("raw_id", *SERIES, "file_name", "line_no", "schema_version", "readable", *out,
+                       (F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")).alias("failed_casts"), F.coalesce("clashes", F.array().cast("array<string>")).alias("clashes"))

@@ -57,3 +57,46 @@ def test_versions_and_empty(spark):
     assert [r["version"] for r in drift.versions(df).orderBy("seq").collect()] == [1, 1, 2, 3]
     none = spark.createDataFrame([], SCHEMA)
     assert drift.changes(none).count() == 0 and drift.one_table(none).count() == 0
+
+
+def test_small_values_prove_a_rename(spark):
+    a = [{"id": i, "p": i % 4 + 1, "q": i % 3} for i in range(10)]
+    b = [{"id": r["id"], "pp": r["p"], "q": r["q"]} for r in a]
+    df = spark.createDataFrame(lines_of([("f1", a), ("f2", b)]), SCHEMA)
+    assert {(r["change_kind"], r["old_field"], r["new_field"]) for r in drift.changes(df).collect()} == {("renamed", "p", "pp")}
+
+
+def test_all_names_changed_at_once(spark):
+    a = first(30)
+    b = [{k.upper() + "_2": v for k, v in r.items()} for r in a[-10:] + first(15, 30)]
+    df = spark.createDataFrame(lines_of([("f1", a), ("f2", b)]), SCHEMA)
+    got = {(r["change_kind"], r["old_field"], r["new_field"]) for r in drift.changes(df).collect()}
+    assert got == {("renamed", k, k.upper() + "_2") for k in a[0]}
+
+
+def test_renames_hold_in_their_own_series_only(spark):
+    """Series A renames steps to total; series B has both fields at once and keeps both."""
+    a = first(20)
+    moved = [{("total" if k == "steps" else k): v for k, v in r.items()} for r in a[-10:]]
+    rows = lines_of([("a1", a), ("a2", moved)])
+    both = lines_of([("b1", [r | {"total": 7 * i} for i, r in enumerate(first(12, 50))])])
+    rows += [(100 + r[0], "E", "T", *r[3:]) for r in both]
+    t = drift.one_table(spark.createDataFrame(rows, SCHEMA))
+    got = t.collect()
+    assert "steps" in t.columns and "total" in t.columns
+    assert [r["total"] for r in got if r["site_code"] == "S"] == [float(x["steps"]) for x in a + a[-10:]]
+    assert [(r["steps"], r["total"]) for r in got if r["site_code"] == "T"] == [(float(r["steps"]), 7.0 * i) for i, r in enumerate(first(12, 50))]
+    assert not any(r["clashes"] for r in got)
+
+
+def test_failed_casts_are_recorded(spark):
+    a = first(20)
+    a[3]["steps"] = "No Value"
+    rows = drift.one_table(spark.createDataFrame(lines_of([("f1", a)]), SCHEMA)).orderBy("line_no").collect()
+    assert rows[3]["steps"] is None and [r["failed_casts"] for r in rows] == [["steps"] if i == 3 else [] for i in range(20)]
+
+
+def test_names_of_one_file_are_never_pooled():
+    names = {"steps": 5, "Steps": 2, "total": 3, "sum": 1}
+    to = drift.pooled_names(names, [("steps", "total"), ("total", "sum")], {("steps", "total")})
+    assert to["steps"] == to["Steps"] == "steps" and to["total"] == to["sum"] != "steps"

@@ -1,9 +1,9 @@
 """References to records that do not exist (problem 1).
 
-Method: references are first pre-aggregated per key and period. That small table names the heavy keys, of which
-there can be at most ``1 / heavy_share``. References of heavy keys meet the live spans of those keys by broadcast if
-the spans are counted and few, else by a two-level scan over time slices; all other references go through a shuffled
-anti-join. The union of both is the result.
+Method: references are first pre-aggregated per key and period. From these counts come the heavy keys: the few most
+frequent ones of either side, however frequent, so that no other key holds more than a known share of the rows.
+References of heavy keys meet the live spans of those keys by broadcast if the spans are counted and few, else by a
+scan over slices of time; all other references go through a shuffled anti-join. The union of both is the result.
 """
 
 from __future__ import annotations
@@ -13,76 +13,72 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key is heavy with more than this share of all references or spans, so that fewer than 1000 keys are heavy ...
-HEAVY_SHARE = 0.001
-#: ... and with more rows than one task sorts with ease.
-HEAVY_ROWS = 50_000
+#: Heavy keys of either side: any other key holds at most one in so many and one of its side's rows.
+HEAVY_KEYS = 256
 #: Live spans of heavy keys are broadcast up to this number (16 bytes and a key each).
 BROADCAST_SPANS = 200_000
+#: Slices of about equal numbers of times that the scan cuts a heavy key into, and parts its references are dealt to.
+SLICES, PARTS = 256, 32
 
 
-def per_key_and_period(refs: DataFrame) -> DataFrame:
-    """Counts of references per kind, key and month."""
-    return refs.groupBy("kind", "key", "period").agg(F.count(F.lit(1)).alias("n_refs"))
+def per_key_and_period(refs: DataFrame, *beside: str) -> DataFrame:
+    """Counts of references per kind, key and month, and further columns if named; null keys are no references."""
+    return refs.where(F.col("key").isNotNull()).groupBy("kind", "key", "period", *beside).agg(F.count(F.lit(1)).alias("n_refs"))
 
 
-def heavy_keys(refs: DataFrame, spans: DataFrame, share: float, rows: int) -> list[tuple[str, str]]:
-    """The heavy (kind, key) pairs of either side; fewer than 2 / share by construction."""
-    sums = (
-        per_key_and_period(refs).groupBy("kind", "key").agg(F.sum("n_refs").alias("n")).withColumn("side", F.lit("ref"))
-        .unionByName(spans.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("span")))
-        .where(F.col("n") > rows)
-    )
-    found = sums.collect() if share <= 0 else _over_share(sums, refs, spans, share)
+def heavy_keys(counts: DataFrame, spans: DataFrame, most: int) -> list[tuple[str, str]]:
+    """The (kind, key) pairs with most references and those with most spans, at most ``most`` of each."""
+    if most <= 0:
+        return []
+    top = lambda x: x.orderBy(F.desc("n"), "kind", "key").limit(most)
+    found = top(counts.groupBy("kind", "key").agg(F.sum("n_refs").alias("n"))).unionByName(top(spans.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")))).collect()
     return sorted({(r["kind"], r["key"]) for r in found})
 
 
-def _over_share(sums: DataFrame, refs: DataFrame, spans: DataFrame, share: float) -> list:
-    # count() of a parquet scan reads footers; the product bounds how many rows can come back
-    n_refs, n_spans = refs.count(), spans.count()
-    return sums.where(F.col("n") > F.when(F.col("side") == "ref", share * n_refs).otherwise(share * n_spans)).collect()
-
-
 def _alive(ref_at: str, start: str, end: str):
     return (F.col(start) <= F.col(ref_at)) & (F.col(end).isNull() | (F.col(end) > F.col(ref_at)))
 
 
 def _scan(refs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Orphans among refs without pairing refs and spans: a running latest end, carried over day slices.
+    """Orphans among refs without pairing refs and spans: a running latest end, carried over slices of time.
 
-    One key's rows are spread over its days; what a day inherits is one value per key and day.
+    One row per key and distinct time is scanned, so that a bulk load of one moment is one row; a key's times are cut
+    into slices at their own quantiles, and what a slice inherits is one value. The times without a live target then
+    find their references, dealt into parts.
     """
     open_end = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
-    timeless = refs.where(F.col("at").isNull())
-    refs = refs.where(F.col("at").isNotNull())
-    carried = [c for c in refs.columns if c not in ("kind", "key", "at")]
-    events = refs.select("kind", "key", "at", F.lit(1).alias("is_ref"), F.lit(None).cast("timestamp_ntz").alias("until"), F.struct(*carried).alias("rest")).unionByName(
-        spans.select("kind", "key", F.col("start").alias("at"), F.lit(0).alias("is_ref"), F.coalesce("end", open_end).cast("timestamp_ntz").alias("until"), F.lit(None).cast(refs.select(F.struct(*carried).alias("rest")).schema["rest"].dataType).alias("rest"))
-    ).withColumn("slice", F.to_date("at"))
-    before = Window.partitionBy("kind", "key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = events.where("is_ref = 0").groupBy("kind", "key", "slice").agg(F.max("until").alias("top"))
-    days = events.select("kind", "key", "slice").distinct().join(inherited, ["kind", "key", "slice"], "left").withColumn("carry", F.max("top").over(before)).drop("top")
-    running = Window.partitionBy("kind", "key", "slice").orderBy("at", "is_ref").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = events.withColumn("until_now", F.max("until").over(running)).join(days, ["kind", "key", "slice"])
+    timed = refs.where(F.col("at").isNotNull())
+    events = timed.select("kind", "key", "at", F.lit(None).cast("timestamp_ntz").alias("until"), F.lit(True).alias("is_ref")).unionByName(
+        spans.select("kind", "key", F.col("start").alias("at"), F.coalesce("end", open_end).cast("timestamp_ntz").alias("until"), F.lit(False).alias("is_ref"))).groupBy("kind", "key", "at").agg(F.max("until").alias("until"), F.max("is_ref").alias("is_ref"))
+    edges = events.groupBy("kind", "key").agg(F.array_distinct(F.percentile_approx("at", [i / SLICES for i in range(1, SLICES)], 10_000)).alias("edges"))
+    # the edges are at most SLICES times of fewer than 2 * HEAVY_KEYS keys
+    events = events.join(F.broadcast(edges), ["kind", "key"]).withColumn("slice", F.size(F.filter("edges", lambda e: e < F.col("at")))).drop("edges")
+    by_slice = Window.partitionBy("kind", "key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = events.groupBy("kind", "key", "slice").agg(F.max("until").alias("top")).withColumn("carry", F.max("top").over(by_slice)).drop("top")
+    running = Window.partitionBy("kind", "key", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = events.withColumn("until_now", F.max("until").over(running)).join(F.broadcast(carry), ["kind", "key", "slice"])  # as many as edges
     last = F.greatest("until_now", "carry")  # ignores nulls
-    return seen.where("is_ref = 1").where(last.isNull() | (last <= F.col("at"))).select("kind", "key", "at", "rest.*").unionByName(timeless)
+    dead = seen.where(F.col("is_ref") & (last.isNull() | (last <= F.col("at")))).select("kind", "key", "at", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    dealt = timed.withColumn("part", F.pmod(F.xxhash64(*refs.columns), F.lit(PARTS)).cast("int"))
+    return dealt.join(dead, ["kind", "key", "at", "part"], "left_semi").select(*refs.columns).unionByName(refs.where(F.col("at").isNull()))
 
 
-def find_orphans(refs: DataFrame, spans: DataFrame, heavy_share: float = HEAVY_SHARE, heavy_rows: int = HEAVY_ROWS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
+def find_orphans(refs: DataFrame, spans: DataFrame, heavy: int = HEAVY_KEYS, broadcast_spans: int = BROADCAST_SPANS, counts: DataFrame | None = None) -> DataFrame:
     """References without a live target.
 
     refs: ``kind, key, at, period`` and any further columns, one row per reference; a null key is no reference.
     spans: ``kind, key, start, end``, the times at which a target of this key lives (start included, end not; a null
     end is open, a null start never lives). A reference is live if any span of its kind and key holds its time; one
     with a null time has no live target. Repeated references stay repeated; empty inputs give an empty result.
+    counts: per_key_and_period of refs, if at hand.
     """
     refs = refs.where(F.col("key").isNotNull())
     spans = spans.where(F.col("key").isNotNull() & F.col("start").isNotNull() & (F.col("end").isNull() | (F.col("end") > F.col("start")))).select("kind", "key", "start", "end").distinct()
-    heavy = heavy_keys(refs, spans, heavy_share, heavy_rows)
-    if not heavy:
-        return _shuffled(refs, spans)
-    listed = F.broadcast(refs.sparkSession.createDataFrame(heavy, "kind string, key string"))
-    parts = [_shuffled(refs.join(listed, ["kind", "key"], "left_anti"), spans.join(listed, ["kind", "key"], "left_anti"))]
+    found = heavy_keys(per_key_and_period(refs) if counts is None else counts, spans, heavy)
+    if not found:
+        return _anti(refs, spans)
+    listed = F.broadcast(refs.sparkSession.createDataFrame(found, "kind string, key string"))  # at most 2 * heavy
+    parts = [_anti(refs.join(listed, ["kind", "key"], "left_anti"), spans.join(listed, ["kind", "key"], "left_anti"))]
     hot_refs, hot_spans = (x.join(listed, ["kind", "key"], "left_semi") for x in (refs, spans))
     if hot_spans.limit(broadcast_spans + 1).count() <= broadcast_spans:
         parts.append(_anti(hot_refs, F.broadcast(hot_spans)))
@@ -96,14 +92,13 @@ def _anti(refs: DataFrame, spans: DataFrame) -> DataFrame:
     return refs.join(s, (F.col("kind") == F.col("_k")) & (F.col("key") == F.col("_key")) & _alive("at", "_s", "_e"), "left_anti")
 
 
-def _shuffled(refs: DataFrame, spans: DataFrame) -> DataFrame:
-    return _anti(refs, spans)
+def orphan_report(counts: DataFrame, orphans: DataFrame) -> DataFrame:
+    """References and orphans per table, column and month of loading (null: no time given).
 
-
-def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """References and orphans per table, column and month of loading (null: no time given)."""
+    counts: per_key_and_period of the references with table_name and ref_field beside.
+    """
     by = ["table_name", "ref_field", "period"]
-    total = refs.where(F.col("key").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n_refs"))
+    total = counts.groupBy(*by).agg(F.sum("n_refs").alias("n_refs"))
     lost = orphans.groupBy(*by).agg(F.count(F.lit(1)).alias("n_orphans"), F.countDistinct("key").alias("n_orphan_keys"))
     on = [total[c].eqNullSafe(lost[c]) for c in by]
     return total.join(lost, on, "left").select(*(total[c] for c in by), "n_refs", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"), F.coalesce("n_orphan_keys", F.lit(0)).alias("n_orphan_keys"))

@@ -20,7 +20,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     refs = reference_rows(spark, d)
-    return orphans.orphan_report(refs, orphans.find_orphans(refs, live_spans(spark, d)))
+    counts = cut(orphans.per_key_and_period(refs, "table_name", "ref_field"))
+    return orphans.orphan_report(counts, orphans.find_orphans(refs, live_spans(spark, d), counts=counts))
 
 
 # ---- problem 2

@@ -14,19 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reference_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Every reference of problem 1 as ``kind, key, at, period, table_name, row_id, ref_field``."""
+    """Every reference of problem 1 as ``kind, key, at, period, table_name, row_id, ref_field``; each table is read once."""
     out = None
-    for name, field, kind in (
-        ("processed_clinical_data", "id", "participant"),
-        ("processed_placental_data", "id", "participant"),
-        ("sample_metadata", "subject_id", "participant"),
-        ("sample_metadata", "metadata_canonical_id", "sample"),
+    for name, fields in (
+        ("processed_clinical_data", {"id": "participant"}),
+        ("processed_placental_data", {"id": "participant"}),
+        ("sample_metadata", {"subject_id": "participant", "metadata_canonical_id": "sample"}),
     ):
         at = F.col("loaded_at").cast("timestamp_ntz")
-        x = table(spark, d, name).select(
-            F.lit(kind).alias("kind"), norm_id(F.col(field)).alias("key"), at.alias("at"), F.date_format(at, "yyyy-MM").alias("period"),
-            F.lit(name).alias("table_name"), "row_id", F.lit(field).alias("ref_field"),
-        )
+        refs = F.array(*(F.struct(F.lit(kind).alias("kind"), norm_id(F.col(f)).alias("key"), F.lit(f).alias("ref_field")) for f, kind in fields.items()))
+        x = table(spark, d, name).select("row_id", at.alias("at"), F.explode(refs).alias("r")).where("r.key is not null").select(
+            "r.kind", "r.key", "at", F.date_format("at", "yyyy-MM").alias("period"), F.lit(name).alias("table_name"), "row_id", "r.ref_field")
         out = x if out is None else out.unionByName(x)
     return out
 

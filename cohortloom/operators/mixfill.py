@@ -1,10 +1,11 @@
 """Filling missing values by a mixture model for mixed data (problem 3).
 
 Method: expectation-maximisation for a mixture whose classes hold a Gaussian over the numeric fields (full covariance)
-and independent distributions over the categorical ones. Missing numeric fields enter by their conditional moments,
-missing categories are left out. Each round every partition adds up its sufficient statistics, which are summed by
-Spark; only these few numbers reach the driver, whatever the number of rows. Afterwards missing numbers become
-their conditional expectation and missing categories their conditional mode, and every cell says what happened to it.
+and independent distributions over the categorical ones, all their levels included. Missing numeric fields enter by
+their conditional moments, missing categories are left out. Each round every partition adds up its sufficient
+statistics, which are summed by Spark; only these numbers reach the driver, classes times levels, whatever the number
+of rows. Rounds end when the likelihood of a row no longer grows. Afterwards missing numbers become their conditional
+expectation and missing categories their conditional mode, and every cell says what happened to it.
 """
 
 from __future__ import annotations
@@ -14,15 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.session import cut
 
-CLASSES, ROUNDS, SEED = 4, 8, 7
-#: Commonest levels of a categorical field that the model knows; the rest share one.
-LEVELS = 24
+CLASSES, SEED = 4, 7
+#: The most rounds, and the gain in log-likelihood per row below which they end.
+ROUNDS, GAIN = 30, 1e-2
+#: A categorical field with more levels than this is refused: its shares per class could not be sent to every task.
+MOST_LEVELS = 100_000
+#: Readings count as at most this many spreads from their field's mean, so that a wild one carries no class away.
+REACH = 8.0
 #: Weight of the common covariance and of even level shares in each class.
 PRIOR_ROWS, PRIOR_LEVEL, FLOOR = 5.0, 0.5, 1e-3
 
@@ -40,8 +46,8 @@ class Mixture:
     levels: list[list[str]]
 
 
-def _posterior(x: np.ndarray, codes: np.ndarray, m: Mixture) -> tuple[np.ndarray, np.ndarray, dict[int, list[np.ndarray]], np.ndarray]:
-    """Class probabilities, filled x per class, conditional covariances by missing pattern, pattern of each row."""
+def _posterior(x: np.ndarray, codes: np.ndarray, m: Mixture) -> tuple[np.ndarray, np.ndarray, dict[int, list[np.ndarray]], np.ndarray, float]:
+    """Class probabilities, filled x per class, conditional covariances by missing pattern, pattern of each row, log-likelihood."""
     n, d = x.shape
     k = len(m.weight)
     logp = np.tile(np.log(m.weight), (n, 1))
@@ -73,11 +79,12 @@ def _posterior(x: np.ndarray, codes: np.ndarray, m: Mixture) -> tuple[np.ndarray
         extra[p] = covs
     top = logp.max(axis=1, keepdims=True)
     g = np.exp(logp - top)
-    return g / g.sum(axis=1, keepdims=True), filled, extra, pattern
+    whole = g.sum(axis=1, keepdims=True)
+    return g / whole, filled, extra, pattern, float((np.log(whole) + top).sum())
 
 
 def _statistics(x: np.ndarray, codes: np.ndarray, m: Mixture) -> np.ndarray:
-    g, filled, extra, pattern = _posterior(x, codes, m)
+    g, filled, extra, pattern, likelihood = _posterior(x, codes, m)
     k, d = m.mean.shape
     out = [g.sum(axis=0)]
     weighted = g[:, :, None] * filled
@@ -91,6 +98,7 @@ def _statistics(x: np.ndarray, codes: np.ndarray, m: Mixture) -> np.ndarray:
     for j, share in enumerate(m.share):
         known = codes[:, j] >= 0
         out.append(np.stack([np.bincount(codes[known, j], g[known, c], share.shape[1]) for c in range(k)]).ravel())
+    out.append(np.array([likelihood, len(x)]))
     return np.concatenate(out)
 
 
@@ -112,35 +120,38 @@ def _updated(stats: np.ndarray, m: Mixture) -> Mixture:
 
 def _matrix(batch: pa.RecordBatch, numerics: list[str], categoricals: list[str], m: Mixture) -> tuple[np.ndarray, np.ndarray]:
     x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in numerics])
-    x = np.clip((x - m.center) / m.spread, -8, 8)  # far readings must not carry a class away
+    x = np.clip((x - m.center) / m.spread, -REACH, REACH)
     codes = np.column_stack([batch.column(f"_c_{c}").to_numpy(zero_copy_only=False).astype(float) for c in categoricals]) if categoricals else np.zeros((len(x), 0))
     return x, np.where(np.isnan(codes), -1, codes).astype(int)
 
 
-def _coded(df: DataFrame, categoricals: list[str], levels: list[list[str]]) -> DataFrame:
-    """Codes 0.. for known levels, the last for all others, null for null."""
-    out = df
-    for c, names in zip(categoricals, levels, strict=True):
-        known = F.create_map(*(x for i, v in enumerate(names) for x in (F.lit(v), F.lit(i)))) if names else None
-        code = F.coalesce(F.try_element_at(known, F.col(c)), F.lit(len(names))) if names else F.lit(0)
-        out = out.withColumn(f"_c_{c}", F.when(F.col(c).isNotNull(), code))
-    return out
+def _coded(df: DataFrame, categoricals: list[str]) -> tuple[DataFrame, list[list[str]]]:
+    """The rows with a code 0.. for every level of each categorical field, null for null, and the levels in order."""
+    out, levels = df, []
+    for c in categoricals:
+        names = [r[0] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(MOST_LEVELS + 1).collect()]
+        if len(names) > MOST_LEVELS:
+            raise ValueError(f"{c} has more than {MOST_LEVELS} levels")
+        listed = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(names)], "_v string, _i int")
+        out = out.join(F.broadcast(listed), F.col(c) == F.col("_v"), "left").withColumn(f"_c_{c}", F.col("_i")).drop("_v", "_i")
+        levels.append(names)
+    return out, levels
 
 
 def fit_mixture(df: DataFrame, numerics: list[str], categoricals: list[str], classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Mixture | None, DataFrame]:
     """Fit on all rows of a table that is cheap to read again. Returns the parameters (None if a numeric field has no value at all) and the coded rows."""
-    levels = [[r[0] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(LEVELS).collect()] for c in categoricals]
-    coded = _coded(df, categoricals, levels)
+    coded, levels = _coded(df, categoricals)
     base = coded.agg(*(f(c).alias(f"{c}_{k}") for c in numerics for k, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
     if any(base[f"{c}_m"] is None for c in numerics):
         return None, coded
     d, rng = len(numerics), np.random.default_rng(SEED)
     center = np.array([base[f"{c}_m"] for c in numerics], float)
     spread = np.array([s if (s := base[f"{c}_s"]) and np.isfinite(s) and s > 0 else 1.0 for c in numerics], float)
-    share = [(s := np.ones((classes, len(names) + 1)) + 0.2 * rng.random((classes, len(names) + 1))) / s.sum(axis=1, keepdims=True) for names in levels]
+    share = [(s := np.ones((classes, max(len(names), 1))) + 0.2 * rng.random((classes, max(len(names), 1)))) / s.sum(axis=1, keepdims=True) for names in levels]
     place = np.linspace(-1, 1, classes)[:, None] if classes > 1 else np.zeros((1, 1))
     m = Mixture(center, spread, np.full(classes, 1 / classes), place + 0.1 * rng.standard_normal((classes, d)), np.stack([np.eye(d)] * classes), share, levels)
     need = coded.select(*numerics, *(f"_c_{c}" for c in categoricals))
+    before = -np.inf
     for _ in range(rounds):
         now = m
 
@@ -160,6 +171,10 @@ def fit_mixture(df: DataFrame, numerics: list[str], categoricals: list[str], cla
         if not len(stats):
             return None, coded
         m = _updated(stats, m)
+        likelihood = stats[-2] / stats[-1]
+        if likelihood - before < GAIN:
+            break
+        before = likelihood
     return m, coded
 
 
@@ -188,7 +203,7 @@ def fill_mixed(df: DataFrame, numerics: list[str], categoricals: list[str], clas
             if not b.num_rows:
                 continue
             x, codes = _matrix(b, usable, categoricals, m)
-            g, filled, _, _ = _posterior(x, codes, m)
+            g, filled, *_ = _posterior(x, codes, m)
             value = np.einsum("nk,nkd->nd", g, filled) * m.spread + m.center
             cols = {c: b.column(c) for c in given}
             for c in numerics + categoricals:
@@ -199,11 +214,11 @@ def fill_mixed(df: DataFrame, numerics: list[str], categoricals: list[str], clas
                 cols[c], cols[f"{c}_filled"] = pa.array(np.where(gap, value[:, j], old), pa.float64()), pa.array(gap)
             for j, c in enumerate(categoricals):
                 names_j = m.levels[j]
-                gap = (codes[:, j] < 0) & (len(names_j) > 0)
-                mode = (g @ m.share[j][:, : max(len(names_j), 1)]).argmax(axis=1)
-                old = b.column(c).to_pylist()
-                cols[c] = pa.array([names_j[mode[i]] if gap[i] else old[i] for i in range(b.num_rows)], pa.string())
-                cols[f"{c}_filled"] = pa.array(gap)
+                gap = pa.array((codes[:, j] < 0) & (len(names_j) > 0))
+                mode = (g @ m.share[j]).argmax(axis=1)
+                if names_j:
+                    cols[c] = pc.if_else(gap, pa.array(names_j, pa.string()).take(pa.array(mode)), b.column(c))
+                cols[f"{c}_filled"] = gap
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
     return coded.mapInArrow(fill, schema)

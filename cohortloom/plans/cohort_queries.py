@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.text import is_control_sample, is_missing_word, norm_id, passes, read_number, read_plain_number, regular_sample_id, trimmed
 from cohortloom.operators import drift, mixfill, orphans, quality, spikes, stitch
 from cohortloom.operators.quantiles import exact_quantiles
-from cohortloom.session import cut
+from cohortloom.session import broadcast_up_to, cut
 from cohortloom.sources.tables import live_spans, reference_rows, table
 
 # ---- problem 1
@@ -52,34 +52,46 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
 AGE, BMI = "maternal_age", "prepregnancy_bmi_self_or_record"
 
 
+#: Assays whose levels are broadcast.
+BROADCAST_ASSAYS = 200_000
+
+
 def _study_groups(spark: SparkSession, d: str) -> DataFrame:
     """Group per sample, as the first loaded row with a valid label has it."""
     g = _group()
-    return table(spark, d, "sample_metadata").select(norm_id(F.col("sample_id")).alias("_sample"), g.alias("g"), "loaded_at", "row_id").where("_sample is not null and g is not null").groupBy("_sample").agg(
+    return table(spark, d, "sample_metadata").select(norm_id(F.col("sample_id")).alias("_sample"), g.alias("g"), "loaded_at", "row_id").where("_sample is not null and g is not null").groupBy(F.xxhash64("_sample").alias("_s")).agg(
         F.min_by("g", F.struct("loaded_at", "row_id")).alias("study_group"))
 
 
+def _study_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of study samples, read and parsed once. Assay, run (sample and file), participant's assay and sample are
+    carried as 64-bit hashes: they only decide which readings a feature of the model is averaged over."""
+    number, sample = read_number(F.col("npx")), norm_id(F.col("sample_id"))
+    x = table(spark, d, "olink_long").where(~is_control_sample(F.col("sample_id"))).select("row_id", sample.alias("s"), "source_file", F.coalesce("panel", F.lit("")).alias("panel"), F.coalesce("assay", F.lit("")).alias("assay"), F.when(number != 0, number).alias("value"))
+    person, letter = F.regexp_extract("s", "^(DP3[0-9]{7})", 1), F.regexp_extract("s", "([A-E])$", 1)
+    return cut(x.select("row_id", "value", "panel", F.when(letter != "", letter).alias("timepoint"), F.xxhash64("panel", "assay").alias("attr"), F.xxhash64("s", "source_file").alias("run"), F.xxhash64("s").alias("sample"),
+                        F.when(person != "", F.xxhash64(person, "panel", "assay")).alias("own")))
+
+
 def filled_readings(spark: SparkSession, d: str) -> DataFrame:
     """npx of study samples, missing ones filled: from the assay's level, the run's and the participant's other readings, group and timepoint."""
-    number = read_number(F.col("npx"))
-    sample = norm_id(F.col("sample_id"))
-    x = table(spark, d, "olink_long").where(~is_control_sample(F.col("sample_id"))).select(
-        "row_id", sample.alias("sample"), F.col("source_file").alias("file"), F.coalesce("panel", F.lit("")).alias("panel"), F.coalesce("assay", F.lit("")).alias("assay"), F.when(number != 0, number).alias("value"))
-    level = exact_quantiles(x, ["panel", "assay"], "value", {"q1": 0.25, "mid": 0.5, "q3": 0.75}).select("panel", "assay", "mid", F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(1e-3)).alias("unit"))
-    x = x.join(level, ["panel", "assay"], "left").withColumn("npx", F.when(F.col("value").isNotNull(), F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col("value") - F.col("mid")) / F.col("unit")))))
-    x = x.withColumn("person", F.regexp_extract("sample", "^(DP3[0-9]{7})", 1)).withColumn("timepoint", F.when(F.regexp_extract("sample", "([A-E])$", 1) != "", F.regexp_extract("sample", "([A-E])$", 1)))
-    # a run (sample and file) and a participant's assay are small groups even where one sample is on every plate
-    run = x.groupBy("sample", "file").agg(F.sum("npx").alias("run_sum"), F.count("npx").alias("run_n")).join(_study_groups(spark, d), F.col("sample") == F.col("_sample"), "left").select(
-        F.col("sample").alias("_s"), F.col("file").alias("_f"), "run_sum", "run_n", "study_group")
-    own = x.groupBy("person", "panel", "assay").agg(F.sum("npx").alias("own_sum"), F.count("npx").alias("own_n"))
-    x = x.join(run, F.col("sample").eqNullSafe(F.col("_s")) & F.col("file").eqNullSafe(F.col("_f")), "left").join(own.withColumnsRenamed({"person": "_p", "panel": "_pa", "assay": "_as"}), (F.col("person") == F.col("_p")) & (F.col("panel") == F.col("_pa")) & (F.col("assay") == F.col("_as")) & (F.col("person") != ""), "left")
+    x = _study_readings(spark, d)
+    q = F.percentile_approx("value", [0.25, 0.5, 0.75], 10_000)
+    level = cut(x.groupBy("attr").agg(q.alias("q")).select(F.col("attr").alias("_a"), F.get("q", F.lit(1)).alias("mid"), F.greatest((F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349, F.lit(1e-3)).alias("unit")))
+    reach = mixfill.REACH  # in units of the assay; a wild reading must not carry its run's mean away
+    x = x.join(broadcast_up_to(level, BROADCAST_ASSAYS), F.col("attr") == F.col("_a"), "left").withColumn("npx", F.when(F.col("value").isNotNull(), F.greatest(F.lit(-reach), F.least(F.lit(reach), (F.col("value") - F.col("mid")) / F.col("unit")))))
+    # sums are made map-side: neither the sample on every plate nor its participant is a group that one task must hold
+    run = x.groupBy(F.col("run").alias("_r"), "sample").agg(F.sum("npx").alias("run_sum"), F.count("npx").alias("run_n")).join(_study_groups(spark, d), F.col("sample") == F.col("_s"), "left").select("_r", "run_sum", "run_n", "study_group")
+    own = x.where("own is not null and npx is not null").groupBy(F.col("own").alias("_o")).agg(F.sum("npx").alias("own_sum"), F.count("npx").alias("own_n"))
+    x = x.join(run, F.col("run") == F.col("_r"), "left").join(own, F.col("own") == F.col("_o"), "left")
     here, mine = F.col("npx").isNotNull().cast("int"), F.coalesce("npx", F.lit(0.0))
     mean = lambda s, n: F.when(F.col(n) - here > 0, (F.col(s) - mine) / (F.col(n) - here))
     x = x.select("row_id", "value", "mid", "unit", "npx", mean("run_sum", "run_n").alias("run_level"), mean("own_sum", "own_n").alias("own_level"), "study_group", "timepoint", "panel")
     done = mixfill.fill_mixed(x, ["npx", "run_level", "own_level"], ["study_group", "timepoint", "panel"])
-    filled = F.col("value").isNull() & F.col("mid").isNotNull() & F.col("npx").isNotNull()
+    # what the model filled or had to leave open is what was missing; an assay without any reading has no level to fill from
+    filled = F.col("npx_filled") & F.col("mid").isNotNull()
     return done.select(F.lit("olink_long").alias("table_name"), "row_id", F.lit("npx").alias("field_name"), F.coalesce("value", F.when(filled, F.col("mid") + F.col("unit") * F.col("npx"))).alias("value"),
-                       F.col("value").isNull().alias("was_missing"), filled.alias("filled"))
+                       (F.col("npx_filled") | F.col("npx").isNull()).alias("was_missing"), filled.alias("filled"))
 
 
 def filled_clinical(spark: SparkSession, d: str) -> DataFrame:

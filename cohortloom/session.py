@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +48,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and go on from there; survives the loss of executors."""
     ensure_shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it is counted and has at most this many rows; df should be cheap to count, as after cut."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

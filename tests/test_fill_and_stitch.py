@@ -1,11 +1,18 @@
 """Problems 3 and 4."""
 
+import os
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from cohortloom.operators import mixfill, stitch
+from cohortloom.plans import cohort_queries
+
+DATA = "/root/testdata/sf0.001"
 
 T0 = datetime(2024, 1, 1)
 
@@ -41,6 +48,34 @@ def test_fill_leaves_open_what_nothing_supports(spark):
         mixfill.fill_mixed(df.withColumnRenamed("id", "x_filled"), ["x"], ["g"])
 
 
+def test_every_level_is_known_to_the_model(spark):
+    """Forty even levels, each with its own number: a hidden level is told from its number."""
+    rows = [(i, float(10 * (i % 40)), f"level {i % 40:02d}" if i % 9 else None) for i in range(4000)]
+    got = mixfill.fill_mixed(spark.createDataFrame(rows, "id long, x double, g string"), ["x"], ["g"], classes=40, rounds=60).where("g_filled").collect()
+    assert len(got) == 445 and len({r["g"] for r in got}) > 24
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_filled_readings_beat_the_assay_median_on_hidden_ones(spark, tmp_path):
+    """Every 29th readable reading of a study sample is hidden; all hidden ones come out filled, nearer than the median of their assay."""
+    for f in os.listdir(DATA):
+        if f != "olink_long.parquet":
+            os.symlink(f"{DATA}/{f}", tmp_path / f)
+    x = pq.read_table(f"{DATA}/olink_long.parquet").to_pandas()
+    number = pd.to_numeric(x["npx"].str.strip().str.replace(",", "."), errors="coerce")
+    study = ~x["sample_id"].fillna("").str.strip().str.upper().str.match("CONTROL|NEG|PLATE")
+    hide = study & number.between(-8, 15) & (number != 0) & (x["row_id"] % 29 == 0)
+    middle = number.where(study & ~hide & (number != 0)).groupby([x["panel"].fillna(""), x["assay"].fillna("")]).transform("median")
+    truth, plain = dict(zip(x["row_id"][hide], number[hide], strict=True)), dict(zip(x["row_id"][hide], middle[hide], strict=True))
+    x.loc[hide, "npx"] = None
+    pq.write_table(pa.Table.from_pandas(x, preserve_index=False), tmp_path / "olink_long.parquet", coerce_timestamps="us")
+    got = {r["row_id"]: r for r in cohort_queries.filled_readings(spark, str(tmp_path)).where("was_missing").collect()}
+    assert set(truth) <= set(got)
+    told = [i for i in truth if got[i]["filled"]]
+    model, median = np.mean([abs(got[i]["value"] - truth[i]) for i in told]), np.mean([abs(plain[i] - truth[i]) for i in told])
+    assert len(told) > 0.95 * len(truth) and model < 0.85 * median, (model, median)
+
+
 CELLS = "entity string, file string, panel string, assay string, value double, usable boolean, qc_warning string, assay_warning string, loaded_at timestamp_ntz, row_id long"
 
 

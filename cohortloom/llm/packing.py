@@ -2,8 +2,9 @@
 
 Method: a configuration linear program over the histogram of item sizes. Sizes are rounded up to classes finer than
 1/256 of their size; multiplicative weights price the classes, an unbounded knapsack by dynamic programming finds the
-most valuable configuration of each round, and the rounds' configurations are rounded down to whole containers. What
-is left is laid out class by class, each step using up at least one class. The histogram has at most one entry per
+most valuable configuration of each round. The rounds' fractions are rounded to whole containers: down first, then, by
+the largest remainder, up as long as the items suffice; so the program decides at any size, also where all fractions
+are below one. What is left is laid out class by class, each step using up at least one class. The histogram has at most one entry per
 unit of capacity, so that the driver's share does not grow with the data. Items then find their containers by their
 rank within their class.
 """
@@ -16,7 +17,11 @@ from pyspark.sql import functions as F
 
 from cohortloom.session import cut
 
-CAPACITY, ROUNDS, RATE = 8192, 80, 4.0
+CAPACITY, ROUNDS, RATE = 8192, 80, 1.0
+#: Steps that would cover all demand at the start, and the fill a configuration must have to be taken, at the last step less.
+FIRST_STEPS, NEARLY_FULL, LAST_FULL = 32, 0.998, 0.95
+#: Power of its size that a class is worth: above one, as small items find a place later on.
+LARGE_FIRST = 1.1
 #: Items per bucket when ranks are counted, by expectation.
 BUCKET_ITEMS = 50_000
 
@@ -28,32 +33,62 @@ def size_class(size, capacity: int):
     return np.minimum(-(-size // step) * step, capacity)
 
 
-def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """Most valuable multiset of classes within the capacity: class index -> copies."""
-    order = np.argsort(sizes, kind="stable")
-    s, v = sizes[order], values[order]
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(s, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        n = upto[c]
-        if n:
-            gain = v[:n] + best[c - s[:n]]
-            k = int(gain.argmax())
-            if gain[k] > best[c]:
-                best[c], pick[c] = gain[k], k
+def best_configuration(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
+    """Most valuable configuration within the capacity, class index -> copies, with at most ``most`` copies of a class.
+
+    Knapsack by dynamic programming: copies are bundled by powers of two, so that each bundle is taken or not.
+    """
+    bundles: list[tuple[int, int, int, float]] = []
+    for j in np.flatnonzero((most > 0) & (values > 0)):
+        left, k = int(min(most[j], capacity // sizes[j])), 1
+        while left > 0:
+            k = min(k, left)
+            bundles.append((int(j), k, k * int(sizes[j]), k * float(values[j])))
+            left, k = left - k, 2 * k
+    best = np.zeros(capacity + 1)
+    taken = np.zeros((len(bundles), capacity + 1), bool)
+    for i, (_, _, size, value) in enumerate(bundles):
+        gain = best[: capacity + 1 - size] + value
+        better = gain > best[size:]
+        taken[i, size:] = better
+        best[size:] = np.where(better, gain, best[size:])
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            j = int(order[pick[c]])
-            out[j] = out.get(j, 0) + 1
-            c -= int(sizes[j])
+    for i in range(len(bundles) - 1, -1, -1):
+        if taken[i, c]:
+            j, k, size, _ = bundles[i]
+            out[j] = out.get(j, 0) + k
+            c -= size
     return out
 
 
+def fractions(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> dict[tuple, float]:
+    """The program's solution: configurations, as sorted (class index, copies), and how many containers take each.
+
+    Every round prices the classes by multiplicative weights, asks for the most valuable configuration that can be
+    taken a whole step, and covers demand by it. When no such configuration is nearly full the step is halved, down to
+    one container, or a fraction of one where there are few; so the number of rounds does not grow with the counts.
+    """
+    least = float((sizes * counts).sum()) / capacity
+    cover, share = np.zeros(len(sizes)), {}
+    step, smallest = least / FIRST_STEPS, min(1.0, least / rounds)
+    if step > 1:
+        step = float(np.floor(step))
+    while True:
+        most = np.minimum(np.floor((counts - cover) / step + 1e-9).astype(np.int64), counts)
+        # a class is worth its size at first, large ones a little more, and exponentially less the more of its demand is covered
+        conf = best_configuration(sizes, sizes**LARGE_FIRST * np.exp(-RATE * cover / counts), most, capacity)
+        if sum(a * int(sizes[j]) for j, a in conf.items()) >= (NEARLY_FULL if step > smallest else LAST_FULL) * capacity:
+            for j, a in conf.items():
+                cover[j] += a * step
+            key = tuple(sorted(conf.items()))
+            share[key] = share.get(key, 0.0) + step
+        elif step <= smallest:
+            return share
+        else:
+            step = max(step / 2 if step < 2 else float(np.floor(step / 2)), smallest)
+
+
 def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Whole configurations (class index -> copies) and how many containers take each; every item gets a place."""
     left = counts.astype(np.int64).copy()
@@ -65,26 +100,17 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = RO
             left[j] -= a * times
 
     least = float((sizes * counts).sum()) / capacity
-    if least >= 2 * rounds:  # fractions of fewer containers would all round to nothing
-        cover, step = np.zeros(len(sizes)), least / rounds
-        share: dict[tuple, float] = {}
-        for _ in range(rounds):
-            # a class is worth its size at first, and exponentially less the more of its demand is covered
-            value = np.where(cover < counts, sizes * np.exp(-RATE * cover / counts), 0.0)
-            conf = best_configuration(sizes, value, capacity)
-            if not conf:
-                break
-            take = min(step, min((counts[j] - cover[j]) / a for j, a in conf.items()))
-            take = max(take, step / 50)
-            for j, a in conf.items():
-                cover[j] += a * take
-            key = tuple(sorted(conf.items()))
-            share[key] = share.get(key, 0.0) + take
-        for key, x in share.items():
-            conf = dict(key)
-            times = int(min(np.floor(x), min(left[j] // a for j, a in conf.items())))
-            if times > 0:
-                use(conf, times)
+    share = fractions(sizes, counts, capacity, rounds)
+    fits = lambda conf: int(min(left[j] // a for j, a in conf.items()))
+    for key, x in share.items():
+        times = min(int(np.floor(x)), fits(dict(key)))
+        if times > 0:
+            use(dict(key), times)
+    whole = sum(times for _, times in plan)
+    for key, _ in sorted(share.items(), key=lambda c: (-(c[1] - np.floor(c[1])), c[0])):
+        if whole < np.floor(least) and fits(dict(key)) > 0:
+            use(dict(key), 1)
+            whole += 1
     by_size = np.argsort(-sizes, kind="stable")
     while (left > 0).any():
         room, conf = capacity, {}

@@ -62,12 +62,30 @@ def test_knapsack_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(20):
         s, v, cap = rng.integers(2, 9, 4), rng.random(4), int(rng.integers(8, 20))
-        conf = packing.best_configuration(s, v, cap)
-        assert sum(int(s[j]) * a for j, a in conf.items()) <= cap
-        best = max(float(np.dot(c, v)) for c in itertools.product(range(cap // 2 + 1), repeat=4) if np.dot(c, s) <= cap)
+        most = rng.integers(0, 8, 4)
+        conf = packing.best_configuration(s, v, most, cap)
+        assert sum(int(s[j]) * a for j, a in conf.items()) <= cap and all(a <= most[j] for j, a in conf.items())
+        best = max(float(np.dot(c, v)) for c in itertools.product(range(cap // 2 + 1), repeat=4) if np.dot(c, s) <= cap and (c <= most).all())
         assert sum(v[j] * a for j, a in conf.items()) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("n", [60, 600, 20000])
+def test_program_decides_at_every_size(n):
+    """Most containers are configurations of the program, also where there are only a few, and few stay open."""
+    rng = np.random.default_rng(n)
+    sizes, counts = np.unique(packing.size_class(np.clip(rng.lognormal(6, 1, n).astype(int), 1, 8192), 8192), return_counts=True)
+    program, plan = packing.fractions(sizes, counts, 8192, packing.ROUNDS), packing.solve(sizes, counts, 8192)
+    used = np.zeros(len(sizes), int)
+    for conf, times in plan:
+        assert times > 0 and sum(int(sizes[j]) * a for j, a in conf.items()) <= 8192
+        for j, a in conf.items():
+            used[j] += a * times
+    assert (used == counts).all()
+    bound, total = (sizes * counts).sum() / 8192, sum(t for _, t in plan)
+    assert total <= 1.005 * bound + 1
+    assert sum(t for conf, t in plan if tuple(sorted(conf.items())) in program) >= 0.5 * bound
+
+
 @pytest.mark.parametrize("n", [1, 7, 5000])
 def test_packing_is_whole_and_tight(spark, n):
     rng = np.random.default_rng(n)

@@ -1,9 +1,11 @@
 """Implausible spikes, stuck values and impossible readings per source (problem 5).
 
 Method: per source and field a robust seasonal-trend decomposition (weekday medians and a running median), residuals
-tested by the generalised extreme studentised deviate procedure on a robust scale; constant runs, ranges and the order
-of related fields are separate checks. A source's series is first reduced to one reading a day, so that a series is
-never longer than its calendar, however many rows a source sends.
+tested by the generalised extreme studentised deviate procedure: the most extreme deviate is taken out, centre and
+scale (median and median deviation) are estimated anew, and so on; where spikes were found, season and trend are
+estimated once more without them and the test is repeated. Constant runs, ranges and the order of related fields are
+separate checks. A source's series is first reduced to one reading a day, so that a series is never longer than its
+calendar, however many rows a source sends; only days that are outside their limits or stuck leave the workers.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from cohortloom.functions.tails import t_sf
 TREND_DAYS, SIDE_DAYS, LEAST_DAYS = 21, 5, 8
 #: Error rate of the deviate test over a whole series; small, as every participant and field is tested.
 ALPHA = 1e-5
+#: What a day says about a scale when it is read off median deviations, against the usual deviation; and how many such
+#: days the scatter that is typical of all sources counts.
+MEDIAN_EFFICIENCY, PRIOR_DAYS = 0.37, 5.0
 #: A run of this many recorded days with one reading is stuck.
 RUN_DAYS = 4
 
@@ -70,55 +75,96 @@ def _median_before(y: np.ndarray, days: int) -> np.ndarray:
     return out
 
 
-def decompose(y: np.ndarray, weekday: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(season, trend, scale) of a series; the scale is the larger of residuals' and differences' spread.
-
-    The first is corrected for what season and trend take up; the second does not depend on the trend's window.
-    """
-    n, season = len(y), np.zeros(7)
+def decompose(y: np.ndarray, weekday: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(season, trend) of a series."""
+    season = np.zeros(7)
     for _ in range(2):
         rest = y - _running_median(y - season[weekday], TREND_DAYS)
         for d in range(7):
             of_day = rest[weekday == d]
             season[d] = np.median(of_day) * len(of_day) / (len(of_day) + 2) if len(of_day) >= 3 else 0.0
         season -= np.median(season)
-    a = y - season[weekday]
-    trend = _running_median(a, TREND_DAYS)
-    rest = a - trend
-    own = 1.4826 * np.median(np.abs(rest - np.median(rest))) * math.sqrt(n / max(n - 7 - n / 10, n / 3))
-    steps = 1.4826 * np.median(np.abs(np.diff(a))) / math.sqrt(2) if n > 1 else 0.0
-    return season[weekday], trend + np.median(rest), max(own, steps, 1e-3 * max(1.0, abs(float(np.median(y)))))
+    return season[weekday], _running_median(y - season[weekday], TREND_DAYS)
+
+
+def centre_and_scale(rest: np.ndarray, a: np.ndarray, typical: float, least: float) -> tuple[float, float]:
+    """Median of the residuals, and the larger of their and the differences' spread, drawn towards the typical one.
+
+    The first spread is corrected for what season and trend take up; the second does not depend on the trend's window.
+    A short series' spread may be small by chance, so it is averaged with the typical spread by what both are worth.
+    """
+    n = len(rest)
+    centre = float(np.median(rest))
+    own = 1.4826 * float(np.median(np.abs(rest - centre))) * math.sqrt(n / max(n - 7 - n / 10, n / 3))
+    steps = 1.4826 * float(np.median(np.abs(np.diff(a)))) / math.sqrt(2) if n > 1 else 0.0
+    worth = MEDIAN_EFFICIENCY * n
+    return centre, max(math.sqrt((worth * max(own, steps) ** 2 + PRIOR_DAYS * typical**2) / (worth + PRIOR_DAYS)), least)
+
+
+def extreme_deviates(low: np.ndarray, high: np.ndarray, a: np.ndarray, trend: np.ndarray, typical: float, least: float, alpha: float) -> tuple[list[int], float, float]:
+    """The days that the generalised procedure finds, most extreme first, the residuals' centre, and the distance from
+    low and high beyond which a reading is one of them.
 
+    A deviate is measured from low or high, each moved by the centre. At most a fifth of the days is taken out; the
+    number found is the last step at which the deviate exceeded its critical value. The test ends early where even the
+    scale without all candidates could not make the next deviate exceed the least critical value.
+    """
+    n, rest = len(a), a - trend
+    most = max(1, n // 5)
+    centre, scale = centre_and_scale(rest, a, typical, least)
+    distance = lambda c: np.maximum(np.maximum(low + c - a, a - high - c), 0)
+    order = np.argsort(-distance(centre), kind="stable")
+    inner = np.sort(order[most:])
+    floor = min(scale, centre_and_scale(rest[inner], a[inner], typical, least)[1])
+    weakest = critical(n, most, alpha) * floor
+    there = np.ones(n, bool)
+    taken: list[int] = []
+    found, edge = 0, critical(n, 1, alpha) * scale
+    for i in range(1, most + 1):
+        d = np.where(there, distance(centre), -1.0)
+        k = int(d.argmax())
+        if found == i - 1 and found:
+            edge = (edge + max(float(d[k]), 0.0)) / 2  # halfway to the next one
+        if d[k] <= weakest:
+            break
+        taken.append(k)
+        if d[k] > critical(n, i, alpha) * scale:
+            found, edge = i, float(d[k])
+        there[k] = False
+        centre, scale = centre_and_scale(rest[there], a[there], typical, least)
+    return taken[:found], centre, edge
 
-def limits(y: np.ndarray, weekday: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+
+def limits(y: np.ndarray, weekday: np.ndarray, typical: float, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
     """Per day the lowest and highest reading that is no spike.
 
     A spike must stand out from the trend and from the days before and after alike, so that the first days of a new
-    level are none. The number of spikes is the largest i at which the i-th deviate exceeds its critical value.
+    level are none. typical: the scatter of most sources.
     """
-    n = len(y)
-    season, trend, scale = decompose(y, weekday)
-    a = y - season
-    before, after = _median_before(a, SIDE_DAYS), _median_before(a[::-1], SIDE_DAYS)[::-1]
-    low = np.fmin(trend, np.fmin(before, after))
-    high = np.fmax(trend, np.fmax(before, after))
-    score = np.maximum(np.maximum(low - a, a - high), 0) / scale
-    ranked, most = np.sort(score)[::-1], max(1, n // 5)
-    least = critical(n, most, alpha)
-    found = max((i for i in range(1, most + 1) if ranked[i - 1] > least and ranked[i - 1] > critical(n, i, alpha)), default=0)
-    cut = (ranked[found - 1] + (ranked[found] if found < n else 0.0)) / 2 if found else critical(n, 1, alpha)
-    return low + season - cut * scale, high + season + cut * scale
-
-
-def _series_limits(batches: Iterator[pa.RecordBatch], fields: list[str], logs: set[str], ceilings: dict[str, float], alpha: float) -> Iterator[pa.RecordBatch]:
+    least = 1e-3 * max(1.0, abs(float(np.median(y))))
+    season, trend = decompose(y, weekday)
+    for again in (True, False):
+        a = y - season
+        before, after = _median_before(a, SIDE_DAYS), _median_before(a[::-1], SIDE_DAYS)[::-1]
+        low, high = np.fmin(trend, np.fmin(before, after)), np.fmax(trend, np.fmax(before, after))
+        found, centre, edge = extreme_deviates(low, high, a, trend, typical, least, alpha)
+        if not (found and again):
+            break
+        calm = y.copy()
+        calm[found] = trend[found] + season[found]
+        season, trend = decompose(calm, weekday)
+    return low + centre + season - edge, high + centre + season + edge
+
+
+def _series_limits(batches: Iterator[pa.RecordBatch], fields: list[str], logs: set[str], ceilings: dict[str, float], typical: dict[str, float], alpha: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {c: [] for c in ("source", "day", "field", "reading", "lo", "hi", "stuck")}
         days_col, sources = batch.column("days"), batch.column("source").to_pylist()
-        values = {f: batch.column(f) for f in fields}
+        get = lambda c, r: batch.column(c)[r].values.to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
         for r, source in enumerate(sources):
             days = days_col[r].values.to_numpy(zero_copy_only=False).astype(np.int64)
             for f in fields:
-                y = values[f][r].values.to_numpy(zero_copy_only=False).astype(float)
+                y = get(f, r)
                 there = np.isfinite(y)
                 d, y = days[there], y[there]
                 if not len(y):
@@ -130,14 +176,16 @@ def _series_limits(batches: Iterator[pa.RecordBatch], fields: list[str], logs: s
                 lo, hi = np.full(len(y), np.nan), np.full(len(y), np.nan)
                 if fair.sum() >= LEAST_DAYS:
                     z = np.log(np.maximum(y[fair], 1.0)) if f in logs else y[fair]
-                    b = limits(z, (d[fair] + 3) % 7, alpha)
+                    b = limits(z, (d[fair] + 3) % 7, typical[f], alpha)
                     lo[fair], hi[fair] = [np.exp(np.minimum(x, 700)) for x in b] if f in logs else b
                     if f in logs:  # the logarithm starts at one
                         lo[fair] = np.where(lo[fair] <= 1, -np.inf, lo[fair])
-                out["source"] += [source] * len(y)
-                out["day"].append(d), out["field"].extend([f] * len(y)), out["stuck"].append(stuck)
-                for k, v in (("reading", y), ("lo", lo), ("hi", hi)):
-                    out[k].append(v)
+                told = stuck | (get(f"{f}__min", r)[there] < lo) | (get(f"{f}__max", r)[there] > hi)
+                k = int(told.sum())
+                out["source"] += [source] * k
+                out["field"] += [f] * k
+                for c, v in (("day", d), ("stuck", stuck), ("reading", y), ("lo", lo), ("hi", hi)):
+                    out[c].append(v[told])
         if out["source"]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["source"], pa.string()), pa.array(np.concatenate(out["day"]).astype(np.int32), pa.int32()), pa.array(out["field"], pa.string()),
@@ -145,18 +193,29 @@ def _series_limits(batches: Iterator[pa.RecordBatch], fields: list[str], logs: s
                 ["source", "day", "field", "reading", "lo", "hi", "stuck"])
 
 
-def day_limits(readings: DataFrame, fields: list[str], logs: set[str], ceilings: dict[str, float], alpha: float = ALPHA) -> DataFrame:
-    """Per source, day and field: limits of usual readings and whether the day is part of a stuck run.
+def typical_scatter(readings: DataFrame, fields: list[str], logs: set[str], ceilings: dict[str, float]) -> dict[str, float]:
+    """Per field the median over sources of the deviation of their possible readings; 0 without any."""
+    z = {f: F.when((F.col(f) >= 0) & (F.col(f) <= ceilings[f]), F.log(F.greatest(F.col(f), F.lit(1.0))) if f in logs else F.col(f).cast("double")) for f in fields}
+    per = readings.where(F.col("source").isNotNull()).groupBy("source").agg(*(F.when(F.count(z[f]) >= LEAST_DAYS, F.stddev_samp(z[f])).alias(f) for f in fields))
+    got = per.agg(*(F.percentile_approx(f, 0.5).alias(f) for f in fields)).first()
+    return {f: float(got[f] or 0.0) for f in fields}
+
+
+def odd_days(readings: DataFrame, fields: list[str], logs: set[str], ceilings: dict[str, float], alpha: float = ALPHA) -> DataFrame:
+    """Per source, day and field with a reading outside its limits or in a stuck run: limits, reading and ``stuck``.
 
     readings: ``source, day (days since 1970), row_id`` and the fields. Of a day sent several times the reading with
     the lowest row_id stands for the day. One row per source is built: at most one entry per calendar day.
     """
-    firsts = [F.min_by(F.when(~F.isnan(f), F.col(f)), F.when(F.col(f).isNotNull() & ~F.isnan(f), F.col("row_id"))).alias(f) for f in fields]
-    daily = readings.where(F.col("source").isNotNull() & F.col("day").isNotNull()).groupBy("source", "day").agg(*firsts)
-    series = daily.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("day", *fields))).alias("s")).select(
-        "source", F.col("s.day").alias("days"), *(F.transform(F.col(f"s.{f}"), lambda x: F.coalesce(x, F.lit(float("nan")))).alias(f) for f in fields))
+    real = lambda f: F.when(F.col(f).isNotNull() & ~F.isnan(f), F.col(f))
+    each = [x for f in fields for x in (F.min_by(real(f), F.when(real(f).isNotNull(), F.col("row_id"))).alias(f), F.min(real(f)).alias(f"{f}__min"), F.max(real(f)).alias(f"{f}__max"))]
+    daily = readings.where(F.col("source").isNotNull() & F.col("day").isNotNull()).groupBy("source", "day").agg(*each)
+    names = [n for f in fields for n in (f, f"{f}__min", f"{f}__max")]
+    series = daily.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("day", *names))).alias("s")).select(
+        "source", F.col("s.day").alias("days"), *(F.transform(F.col(f"s.{n}"), lambda x: F.coalesce(x, F.lit(float("nan")))).alias(n) for n in names))
+    typical = typical_scatter(readings, fields, logs, ceilings)
     schema = "source string, day int, field string, reading double, lo double, hi double, stuck boolean"
-    return series.mapInArrow(lambda it: _series_limits(it, fields, logs, ceilings, alpha), schema)
+    return series.mapInArrow(lambda it: _series_limits(it, fields, logs, ceilings, typical, alpha), schema)
 
 
 def flag_readings(readings: DataFrame, fields: list[str], logs: set[str], ceilings: dict[str, float], within: list[tuple[str, str]], alpha: float = ALPHA) -> DataFrame:
@@ -170,7 +229,7 @@ def flag_readings(readings: DataFrame, fields: list[str], logs: set[str], ceilin
     real = {f: F.when(F.col(f).isNotNull() & ~F.isnan(f), F.col(f)) for f in fields}
     rows = readings.select("row_id", "source", "day", *(real[f].alias(f) for f in fields))
     cols = ("reading", "lo", "hi", "stuck")
-    lim = day_limits(readings, fields, logs, ceilings, alpha).groupBy("source", "day").agg(
+    lim = odd_days(readings, fields, logs, ceilings, alpha).groupBy("source", "day").agg(
         *(F.max(F.when(F.col("field") == f, F.struct(*cols))).alias(f"{f}__l") for f in fields))
     x = rows.join(lim, ["source", "day"], "left")
     off = {f: F.coalesce((F.col(f) < F.col(f"{f}__l.lo")) | (F.col(f) > F.col(f"{f}__l.hi")) | (F.col(f) < 0) | (F.col(f) > ceilings[f]), F.lit(False)) for f in fields}

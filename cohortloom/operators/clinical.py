@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stand-ins for missing answers.
-PLACEHOLDERS = ("?", "declined", "missing", "na", "n/a", "nan", "not recorded", "unknown", "unspecified")
-#: Codes of placental findings.
+PLACEHOLDERS = ("n/a", "na", "unknown", "declined", "unspecified", "not applicable", "missing", "nan", "none", "null")
+#: Codes of placental findings; a table need not have all of them.
 PLACENTAL_CODES = {
+    "distal_villous_hypoplasia": {"yes": 1},
     "accelerated_villous_maturation": {"yes": 1},
     "increased_syncytial_knots": {"yes": 1},
     "delayed_villous_maturation": {"yes": 1},
+    "increased_perivillous_fibrin_deposition": {"yes": 1},
     "chorangiosis": {"yes": 1},
+    "segmental_avascular_villi": {"yes,_small": 1, "yes/i": 2, "yes,_large": 3},
     "maternal_inflammatory_response_stage": {"s1/g1": 1, "s2/g1": 2, "s3/g1": 3},
     "villitis_of_unknown_etiology": {"yes/l": 1, "yes,_lg,_focal": 1, "yes/h": 2, "yes,_hg,_focal": 2},
     "decidual_arteriopathy": {"yes": 1, "yes_(thrombosed)": 1, "yes,_roll": 1},
 }
+#: What says that a birth was early by itself, and what race answers are told by.
+SPTB_WORD, LABOR_BY_ITSELF = "sptb", ("spontaneous", "prom", "0")
+RACE_WORDS = {"race_white": "white", "race_black": "black|african|africian", "race_asian": "asian|korean"}
+#: An ethnicity that denies, and one that affirms.
+DENIES, AFFIRMS = "^(not|non|no)", "hispanic|latin"
 #: Bins as (upper edge, whether the edge belongs below it, label); the last label has no edge.
 BINS = {
     "maternal_age": ((24, True, "18-24"), (29, True, "25-29"), (34, True, "30-34"), (39, True, "35-39"), (None, None, "40+")),
@@ -69,8 +77,8 @@ def coded(c: Column, codes: dict[str, int]) -> Column:
 
 def spontaneous_preterm(group: Column, subgroup: Column, labor: Column, weeks: Column) -> Column:
     """1 if a group says so, or labor began by itself before 37 weeks."""
-    said = F.coalesce(F.lower(group).contains("sptb"), F.lit(False)) | F.coalesce(F.lower(subgroup).contains("sptb"), F.lit(False))
-    early = F.coalesce(F.lower(labor).isin("0", "prom", "spontaneous") & (weeks < 37) & ~F.isnan(weeks), F.lit(False))
+    said = F.coalesce(F.lower(group).contains(SPTB_WORD), F.lit(False)) | F.coalesce(F.lower(subgroup).contains(SPTB_WORD), F.lit(False))
+    early = F.coalesce(F.lower(labor).isin(*LABOR_BY_ITSELF) & (weeks < 37) & ~F.isnan(weeks), F.lit(False))
     return (said | early).cast("int")
 
 
@@ -82,14 +90,13 @@ def smoking_code(c: Column) -> Column:
 def race_flags(c: Column) -> dict[str, Column]:
     """Flags by words in the answer; null counts as none."""
     r = F.lower(F.trim(c))
-    flag = lambda p: F.coalesce(r.rlike(p).cast("int"), F.lit(0))
-    return {"race_white": flag("white"), "race_black": flag("black|african|africian"), "race_asian": flag("asian|korean")}
+    return {name: F.coalesce(r.rlike(words).cast("int"), F.lit(0)) for name, words in RACE_WORDS.items()}
 
 
 def hispanic_flag(c: Column) -> Column:
     """1, 0 or null for unknown answers; an answer that denies counts as 0."""
     e = F.lower(F.trim(c))
-    return F.when(e.isNull() | e.isin("", *PLACEHOLDERS), None).when(e.rlike("^(not|non|no)"), 0).when(e.rlike("hispanic|latin"), 1).otherwise(0)
+    return F.when(e.isNull() | e.isin("", *PLACEHOLDERS), None).when(e.rlike(DENIES), 0).when(e.rlike(AFFIRMS), 1).otherwise(0)
 
 
 def pooled(group: Column) -> Column:

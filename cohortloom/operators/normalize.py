@@ -34,6 +34,50 @@ def by_standards(df: DataFrame, sample: str, batch: str, value: str, standard: C
     return df.where(~standard).join(factor, sample).withColumn(value, F.col(value) / F.col("_factor")).drop("_factor")
 
 
+#: The internal standard that lipids of a class are divided by.
+CLASS_STANDARDS = {
+    "LPC": "18:1_LPC-d7",
+    "LPE": "18:1_LPC-d7",
+    "LPI": "18:1_LPC-d7",
+    "LPG": "18:1_LPC-d7",
+    "LPS": "18:1_LPC-d7",
+    "LPA": "18:1_LPC-d7",
+    "PC": "15:0/18:1_PC-d7",
+    "PE": "15:0/18:1_PC-d7",
+    "PI": "15:0/18:1_PC-d7",
+    "PG": "15:0/18:1_PC-d7",
+    "PS": "15:0/18:1_PC-d7",
+    "PA": "15:0/18:1_PC-d7",
+    "SM": "18:1_SM-d9",
+    "Cer": "18:1_SM-d9",
+    "HexCer": "18:1_SM-d9",
+    "DG": "15:0/18:1_DG-d7",
+    "MG": "15:0/18:1_DG-d7",
+    "TG": "15:0/18:1/15:0_TG-d7",
+    "CE": "18:1_CE-d7",
+}
+
+
+def by_class_standards(df: DataFrame, sample: str, batch: str, feature: str, kind: str, value: str, standard: Column, classes: dict[str, str] = CLASS_STANDARDS) -> DataFrame:
+    """Values over the standard of their class in the sample; where the class has none, or it is not positive there,
+    over the geometric mean of the sample's standards, else the batch's median of it, else the overall one.
+
+    ``matched`` says which. classes is a short list; standards are few per sample.
+    """
+    std = df.where(standard)
+    own = std.groupBy(sample).agg(geometric_mean(F.col(value)).alias("_own"))
+    samples = df.select(sample, batch).distinct().join(own, sample, "left")
+    per_batch = exact_quantiles(samples, [batch], "_own", {"_batch": 0.5}).drop("n")
+    overall = samples.agg(F.median("_own")).scalar()
+    pooled = samples.join(per_batch, batch, "left").select(F.col(sample).alias("_s"), F.coalesce("_own", "_batch", overall).alias("_pooled"))
+    named = F.lit(None).cast("string")
+    for k, name in classes.items():
+        named = F.when(F.col(kind) == k, name).otherwise(named)
+    one = std.groupBy(F.col(sample).alias("_s1"), F.col(feature).alias("_f1")).agg(F.max(F.when(F.col(value) > 0, F.col(value))).alias("_one"))
+    x = df.where(~standard).withColumn("_n", named).join(one, (F.col(sample) == F.col("_s1")) & (F.col("_n") == F.col("_f1")), "left").join(pooled, F.col(sample) == F.col("_s"))
+    return x.withColumn(value, F.col(value) / F.coalesce("_one", "_pooled")).withColumn("matched", F.col("_one").isNotNull()).drop("_n", "_s1", "_f1", "_one", "_s", "_pooled")
+
+
 def batch_factors(df: DataFrame, feature: str, batch: str, value: str, pool: Column, reference) -> DataFrame:
     """Median over features of the batch's pool median over the reference batch's."""
     m = exact_quantiles(df.where(pool), [feature, batch], value, {"mid": 0.5}).drop("n")

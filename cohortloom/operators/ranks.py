@@ -93,6 +93,24 @@ def kruskal(df: DataFrame, keys: list[str], value: str, group: str, least: int =
     return h.select(*keys, "n_groups", n.cast("long").alias("n"), F.when(F.col("n_groups") > 1, raw / F.nullif(adjust, F.lit(0.0))).alias("h"))
 
 
+def anderson_darling(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
+    """The k-sample statistic for tied values (midranks), not standardised, with groups and rows; null for one group or
+    one distinct value. Sums run over counts of distinct values, so a hot key is spread."""
+    x = df.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(group).isNotNull())
+    sizes = x.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n_i"))
+    total = sizes.groupBy(*keys).agg(F.sum("n_i").alias("n"), F.count(F.lit(1)).alias("n_groups"))
+    pooled = value_counts(x, keys, value, {})
+    own = x.groupBy(*keys, group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("f"))
+    # groups of a key are few: every group meets the key's distinct values
+    grid = pooled.join(sizes, keys).join(own, [*keys, group, "v"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    ran = running(grid, [*keys, group], "v", ["f"])
+    n, b, m = F.col("n"), F.col("c_before") + F.col("c") / 2, F.col("f_before") + F.col("f") / 2
+    under = b * (n - b) - n * F.col("c") / 4
+    term = F.when(under > 0, F.col("c") / n * F.pow(n * m - F.col("n_i") * b, 2) / under)
+    per = ran.join(total, keys).groupBy(*keys, group).agg((F.sum(term) / F.max("n_i")).alias("a"), F.max("n").alias("n"), F.max("n_groups").alias("n_groups"))
+    return per.groupBy(*keys).agg(F.max("n").alias("n"), F.max("n_groups").alias("n_groups"), F.when(F.max("n_groups") > 1, (F.max("n") - 1) / F.max("n") * F.sum("a")).alias("a2"))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 10) -> DataFrame:
     """Correlation of mid-ranks over the rows where both are there; null below the least size or without variation."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))

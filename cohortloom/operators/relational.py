@@ -42,6 +42,11 @@ def union_aligned(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def reindexed(df: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """df's row for every key of the index, null where it has none; keys of df that are not in the index leave."""
+    return index.select(key).join(df, key, "left")
+
+
 def adjacent_deltas(df: DataFrame, subject: str, feature: str, timepoint: str, value: str) -> DataFrame:
     """value at each timepoint less that at the one before in the alphabet; gaps give no delta."""
     a = df.select(subject, feature, F.col(timepoint).alias("_t0"), F.col(value).alias("_v0"), (F.ascii(timepoint) + 1).alias("_next"))

@@ -11,6 +11,8 @@ from cohortloom.plans.registry import Register
 
 R = Register()
 C, P, V = "processed_clinical_data", "processed_placental_data", "dp3_variables_of_interest"
+#: Codes of the findings that the placental table here has.
+CODES = {c: m for c, m in cl.PLACENTAL_CODES.items() if c not in ("distal_villous_hypoplasia", "increased_perivillous_fibrin_deposition", "segmental_avascular_villi")}
 _WORDS = ", ".join(f"'{w}'" for w in ("", *cl.PLACEHOLDERS))
 _UNMASK = lambda c: f"case when lower(trim({c})) not in ({_WORDS}) then {c} end"
 _num = lambda c: F.when(~F.isnan(c), F.col(c))
@@ -76,9 +78,9 @@ def _(t):
     return t(V).select("row_id", cl.smoking_code(F.col("smoking")).alias("smoking_encoded"))
 
 
-@R.query("q_rs_08", f"select row_id, " + ", ".join("coalesce(case " + " ".join(f"when lower({c}) = '{w}' then {k}" for w, k in m.items()) + f" end, 0) as {c}" for c, m in cl.PLACENTAL_CODES.items()) + f" from {P}")
+@R.query("q_rs_08", f"select row_id, " + ", ".join("coalesce(case " + " ".join(f"when lower({c}) = '{w}' then {k}" for w, k in m.items()) + f" end, 0) as {c}" for c, m in CODES.items()) + f" from {P}")
 def _(t):
-    return t(P).select("row_id", *(cl.coded(F.lower(c), m).alias(c) for c, m in cl.PLACENTAL_CODES.items()))
+    return t(P).select("row_id", *(cl.coded(F.lower(c), m).alias(c) for c, m in CODES.items()))
 
 
 _SPTB = "case when lower(c.group_label) like '%sptb%' or lower(c.subgroup) like '%sptb%' then 1 when lower(v.labor_onset) in ('spontaneous', 'prom', '0') and c.gest_age_del < 37 and not isnan(c.gest_age_del) then 1 else 0 end"
@@ -90,10 +92,10 @@ def _(t):
     return t(C).join(v, "id", "left").select("row_id", "v_row", cl.spontaneous_preterm(F.col("group_label"), F.col("subgroup"), F.col("labor_onset"), F.col("gest_age_del")).alias("sptb"))
 
 
-@R.query("q_ag_21", "select finding, sum(v)::bigint as total from (select unnest([" + ", ".join(f"'{c}'" for c in cl.PLACENTAL_CODES) + "]) as finding, unnest([" + ", ".join("coalesce(case " + " ".join(f"when lower({c}) = '{w}' then {k}" for w, k in m.items()) + " end, 0)" for c, m in cl.PLACENTAL_CODES.items()) + f"]) as v from {P}) group by 1 having sum(v) > 0")
+@R.query("q_ag_21", "select finding, sum(v)::bigint as total from (select unnest([" + ", ".join(f"'{c}'" for c in CODES) + "]) as finding, unnest([" + ", ".join("coalesce(case " + " ".join(f"when lower({c}) = '{w}' then {k}" for w, k in m.items()) + " end, 0)" for c, m in CODES.items()) + f"]) as v from {P}) group by 1 having sum(v) > 0")
 def _(t):
-    x = t(P).select("row_id", *(cl.coded(F.lower(c), m).alias(c) for c, m in cl.PLACENTAL_CODES.items()))
-    return x.unpivot(["row_id"], list(cl.PLACENTAL_CODES), "finding", "v").groupBy("finding").agg(F.sum("v").cast("long").alias("total")).where("total > 0")
+    x = t(P).select("row_id", *(cl.coded(F.lower(c), m).alias(c) for c, m in CODES.items()))
+    return x.unpivot(["row_id"], list(CODES), "finding", "v").groupBy("finding").agg(F.sum("v").cast("long").alias("total")).where("total > 0")
 
 
 def _sql_bin(c, edges):

@@ -91,16 +91,28 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return (r.schema(schema) if schema else r).json(path)
 
 
-def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0, rows: int | None = None) -> DataFrame:
-    """A sheet of a workbook, all cells as text; needs the optional openpyxl. A sheet is bounded by its format."""
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise ImportError("reading workbooks needs openpyxl") from e
-    book = openpyxl.load_workbook(path, read_only=True, data_only=True)
-    ws = book.worksheets[sheet] if isinstance(sheet, int) else book[sheet]
-    data = [[None if v is None else str(v) for v in r] for _, r in zip(range((rows or 1 << 20) + 1), ws.iter_rows(values_only=True), strict=False)]
-    if not data:
-        return spark.createDataFrame([], T.StructType([]))
-    names = [normal_header(h or f"column_{i}") for i, h in enumerate(data[0])]
-    return spark.createDataFrame(data[1:], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+def bundle(areas: DataFrame, features: DataFrame, samples: DataFrame, row: str, column: str) -> DataFrame:
+    """Areas by row and column number with the labels of both, joined by number; refused if areas have a number that
+    no label has, or labels one that no area has.
+
+    Numbers are given when the files are read, so that no order of rows is relied on.
+    """
+    for labels, at in ((features, row), (samples, column)):
+        have, want = areas.agg(F.countDistinct(at).alias("n"), F.max(at).alias("most")).first(), labels.agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("most")).first()
+        if (have["n"], have["most"]) != (want["n"], want["most"]):
+            raise ValueError(f"{at}: areas have {have['n']} up to {have['most']}, labels {want['n']} up to {want['most']}")
+    return areas.join(features, row).join(samples, column)
+
+
+def without_first(df: DataFrame, order: str) -> DataFrame:
+    """Without the first row by order (a repeated header), unless it is the only one."""
+    first = df.agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return df.join(F.broadcast(first), (F.col(order) > F.col("_first")) | (F.col("_n") == 1)).drop("_first", "_n")
+
+
+def read_below(spark: SparkSession, path: str, names: list[str], skip: int, sep: str = ",") -> DataFrame:
+    """Delimited text below ``skip`` lines of one file, columns by given names. Lines are told apart by their place in
+    the file, so that lines like those skipped stay."""
+    raw = spark.read.text(path, wholetext=True)
+    lines = raw.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where((F.col("at") >= skip) & (F.trim("line") != ""))
+    return lines.select(F.from_csv("line", ", ".join(f"`{n}` string" for n in names), {"sep": sep}).alias("r")).select("r.*")

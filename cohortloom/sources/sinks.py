@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,14 @@ def report_lines(df: DataFrame, widths: dict[str, int]) -> DataFrame:
 def manifest(df: DataFrame, run: dict[str, str]) -> DataFrame:
     """One row about a run: its parameters, rows and columns."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(*(F.lit(v).alias(k) for k, v in run.items()), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file on any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data), 0, len(data))
+    finally:
+        out.close()

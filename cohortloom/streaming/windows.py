@@ -28,13 +28,14 @@ def unique_events(events: DataFrame, at: str, keys: list[str], late: str = "1 ho
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_end(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Run an aggregating stream over what is there and read the final state back from the shared folder."""
+def run_to_end(spark: SparkSession, df: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there and read its result back from the shared folder: the final state of an
+    aggregating one, or (mode append) all rows it lets through. A batch that is run again replaces its own rows."""
     ensure_shared_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/rows")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows" + (f"/batch={number}" if mode == "append" else ""))
 
-    df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/rows")

@@ -109,6 +109,8 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
     spare, slack = 3, max(4, limit // 64)
     while True:
         most = limit - overlap - spare
+        if most < 1:
+            raise ValueError(f"no cut of this text leaves pieces of {limit} tokens")
         cuts = merge(atoms(level, most), level, limit - spare, overlap)
         out, begin = [], 0
         for end in cuts:

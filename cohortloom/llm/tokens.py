@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,16 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def process_cache() -> dict:
+    """What a Python worker keeps between tasks: in a module of its own, as functions are sent to workers by value."""
+    return sys.modules.setdefault("_cohortloom_process_cache", types.ModuleType("_cohortloom_process_cache")).__dict__
+
+
 def encoder(path: str = RANKS):
     """The tokenizer of this process and the byte length of each of its tokens; read once per process."""
     import tiktoken
 
-    held = sys.modules["tiktoken"].__dict__.setdefault("_loaded_by_path", {})
+    held = process_cache().setdefault("encoders", {})
     if path not in held:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

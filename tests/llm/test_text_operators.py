@@ -51,6 +51,19 @@ def test_values_typed_by_hand(spark, how):
     assert {k for k, r in got.items() if r["exact"]} == {0, 12}
 
 
+def test_entries_that_no_list_holds(spark):
+    """Terms with numbers, time, remarks and slips around them, blanks left out, and two values at once."""
+    canon = [("smoking", "Never", "has never smoked"), ("smoking", "Quit", "smoked before, not now"), ("smoking", "Yes", "smokes now"), ("race", "White", ""), ("race", "Black or African American", ""), ("race", "Multiracial", "more than one of the above named"), ("race", "American Indian or Alaska Native", "")]
+    asked = {"smoking": {"quit 2010": "Quit", "1 pack day": "Yes", "gave up in may": "Quit", "ex-smoker since 2 yrs": "Quit", "latex allergy": "unmatched", "form 34/7": "unmatched", "smokes now": "Yes", "nvr": "Never"},
+             "race": {"black/white": "Multiracial", "whte and blakc": "Multiracial", "amer indian": "American Indian or Alaska Native", "af am": "Black or African American", "BlackAmerican": "Black or African American", "40 weeks": "unmatched", "W": "White"}}
+    ref = spark.createDataFrame(canon, "field_name string, canonical_value string, meaning string")
+    for field, values in asked.items():
+        df = spark.createDataFrame(list(enumerate(values)), f"row_id long, {field} string")
+        for how in ({}, {"broadcast_entries": 10}):
+            got = canonical.map_values(df, "row_id", [field], ref, **how).collect()
+            assert {r["entry"]: r["canonical_value"] for r in got} == values, how
+
+
 def test_no_values(spark):
     assert mapped(spark, []) == {} and mapped(spark, [None, ""]) == {}
 

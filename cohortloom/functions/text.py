@@ -11,6 +11,8 @@ MISSING_WORDS = ("", "na", "n/a", "nan", "null", "none", "unknown")
 NUMBER = r"^[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)?$"
 PLAIN_NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 BLANKS = " \t\n\x0b\f\r"
+#: The ASCII characters that are no part of an id.
+_NO_ID = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 
 
 def trimmed(c: Column) -> Column:
@@ -20,7 +22,9 @@ def trimmed(c: Column) -> Column:
 
 def norm_id(c: Column) -> Column:
     """Letters and digits of an id in upper case; null where nothing is left (such an id names nobody)."""
-    x = F.upper(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    # plain ASCII needs no regular expression
+    kept = F.when(F.octet_length(c) == F.char_length(c), F.translate(c, _NO_ID, "")).otherwise(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    x = F.upper(kept)
     return F.when(x != "", x)
 
 
@@ -48,7 +52,8 @@ def read_plain_number(c: Column) -> Column:
 
 def is_control_sample(c: Column) -> Column:
     """Control samples start with CONTROL, NEG or PLATE."""
-    return F.coalesce(F.upper(trimmed(c)).rlike("^(CONTROL|NEG|PLATE)"), F.lit(False))
+    t = F.upper(trimmed(c))
+    return F.coalesce(t.startswith("CONTROL") | t.startswith("NEG") | t.startswith("PLATE"), F.lit(False))
 
 
 def passes(c: Column) -> Column:

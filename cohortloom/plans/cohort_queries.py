@@ -208,26 +208,34 @@ def _reading_codes() -> dict[str, Column]:
             "assay_warning": _warning(c("assay_warning")), "source_file": _bucket(F.regexp_replace(c("source_file"), "[0-9]+", "9")), "loaded_at": c("loaded_at").isNull().cast("int")}
 
 
-def _sample_codes() -> dict[str, Column]:
-    """As _reading_codes, for sample_metadata."""
+def _sample_codes(ages: bool) -> dict[str, Column]:
+    """As _reading_codes, for sample_metadata; ages: with the bins of the two ages."""
     c = F.col
     group = F.coalesce(sum(F.when(_group() == g, i + 1).otherwise(0) for i, g in enumerate(GROUPS)), F.when(is_missing_word(c("group_label")), -1).otherwise(0))
     batch = F.when(is_missing_word(c("batch")), 0).when(trimmed(c("batch")).rlike("^[0-9]+$"), 1).otherwise(2)
     return {"row_id": c("row_id").isNull().cast("int"), **{k: _id_form(c(k)) for k in ("sample_id", "subject_id", "metadata_canonical_id")}, "group_label": group, "subgroup": _bucket(c("subgroup")), "batch": batch,
-            **{k: c(f"{k}_bin") for k in AGES}, "loaded_at": c("loaded_at").isNull().cast("int")}
+            **({k: c(f"{k}_bin") for k in AGES} if ages else {}), "loaded_at": c("loaded_at").isNull().cast("int")}
 
 
 AGES = ("gest_age_delivery", "sample_gest_age")
 
 
-def _drift(readings: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classifier test over a feature of every column of both tables."""
+#: Columns whose issues are looked for, with those that may explain them: the classifier behind p7_loads and p7_found.
+WATCHED = (("npx", "qc_warning", "assay_warning"), ("group_label", "batch"))
+
+
+def _drift(readings: DataFrame, samples: DataFrame, watched: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The classifier test over a feature of every column of both tables, or of the watched ones."""
     v = F.col("v")
     levels = quality.binned(readings, "lab_code", {"v": F.when(~F.col("missing"), v)}, READING_BINS)
     npx = F.when(F.col("missing"), -1).when(v.isNull(), -2).otherwise(F.col("v_bin"))
-    in_readings = quality.two_sample_test(levels, "lab_code", "load_id", {"npx": npx} | {k: F.col(f"{k}_code") for k in _reading_codes()}, "row_id")
-    ages = quality.binned(samples, "lab_code", {k: F.col(k) for k in AGES}, AGE_BINS)
-    return in_readings, quality.two_sample_test(ages, "lab_code", "load_id", _sample_codes(), "row_id")
+    of_readings = {"npx": npx} | {k: F.col(f"{k}_code") for k in _reading_codes()}
+    if not watched:
+        samples = quality.binned(samples, "lab_code", {k: F.col(k) for k in AGES}, AGE_BINS)
+    of_samples = _sample_codes(ages=not watched)
+    if watched:
+        of_readings, of_samples = ({k: f[k] for k in w} for f, w in zip((of_readings, of_samples), WATCHED, strict=True))
+    return quality.two_sample_test(levels, "lab_code", "load_id", of_readings, "row_id"), quality.two_sample_test(samples, "lab_code", "load_id", of_samples, "row_id")
 
 
 def p7_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -238,23 +246,19 @@ def p7_drift(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_loads(spark: SparkSession, d: str) -> DataFrame:
     """Figures and issues of npx, batch and group_label per load, the classifier's figures beside them."""
-    return _loads(spark, d, True)
-
-
-def _loads(spark: SparkSession, d: str, classifier: bool) -> DataFrame:
     readings, rows = _reading_rows(spark, d), _sample_rows(spark, d)
-    in_readings, in_samples = (cut(x) for x in _drift(readings, rows)) if classifier else (None, None)  # a few rows per load
+    in_readings, in_samples = (cut(x) for x in _drift(readings, rows, watched=True))  # a few rows per load
     v, b, g = F.col("v"), F.col("batch"), F.col("group_label")
     npx = quality.number_issues(readings, "lab_code", "load_id", "npx", F.col("missing"), v.isNotNull(), F.when(v != 0, v), in_readings,
                                 missing_over=0.15, bad_over=0.05, low=-10, high=30, outside_over=0.02, distinct_under=0.2, median_off=1.2, spread_over=2)
-    batch = quality.label_issues(rows, "lab_code", "load_id", "batch", is_missing_word(b), trimmed(b).rlike("^[0-9]+$"), None, None, 0.25, 0.25, 25, 0.45)
+    batch = quality.label_issues(rows, "lab_code", "load_id", "batch", is_missing_word(b), trimmed(b).rlike("^[0-9]+$"), None, in_samples, 0.25, 0.25, 25, 0.45)
     group = quality.label_issues(rows, "lab_code", "load_id", "group_label", is_missing_word(g), _group().isNotNull(), _group(), in_samples, 0.25, 0.25, 25, 0.45)
     return quality.with_table("olink_long", [npx]).unionByName(quality.with_table("sample_metadata", [batch, group]))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """The issues alone; they follow from the exact rules and need no classifier."""
-    return _loads(spark, d, False).select("table_name", "column_name", "load_id", F.explode("issues").alias("issue"))
+    """The issues of p7_loads: the classifier runs over every load, the exact rules decide."""
+    return p7_loads(spark, d).select("table_name", "column_name", "load_id", F.explode("issues").alias("issue"))
 
 
 def p7_profile(spark: SparkSession, d: str) -> DataFrame:

@@ -159,6 +159,24 @@ def test_mixture_of_nothing(spark):
     assert mixture.count() == 0 and [r["actual_share"] for r in report.collect()] == [0.0]
 
 
+def test_topics_go_across_languages(spark):
+    """Two subjects in two languages with words of their own: documents of one subject and language share a topic, and
+    a subject's topics are not those of the other."""
+    rng = random.Random(2)
+    subject = {"a": ["placenta", "villi", "chorion", "membrane", "lesion", "weight"], "b": ["steps", "sleep", "battery", "tracker", "sync", "watch"]}
+    common = {"en": ["the", "and", "was", "with"], "es": ["los", "con", "fue", "una"]}
+    rows = []
+    for i in range(240):
+        k, lang = "ab"[i % 2], ("en", "es")[i // 2 % 2]
+        rows.append((i, k, lang, " ".join(rng.choice(subject[k] + 2 * common[lang]) for _ in range(80))))
+    rows += [(1000, "a", "en", None), (1001, None, None, "")]
+    got = mixing.sized(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")).collect()
+    of = {k: {r["topic"] for r in got if r["source"] == k and r["n_tokens"]} for k in "ab"}
+    assert not of["a"] & of["b"] and {r["topic"] for r in got if not r["n_tokens"]} == {"none"}
+    assert any({r["lang"] for r in got if r["topic"] == t} == {"en", "es"} for t in of["a"] | of["b"])
+    assert mixing.sized(spark.createDataFrame([], "doc_id long, source string, lang string, text string")).count() == 0
+
+
 # ---- problem 10
 
 TEXTS = [

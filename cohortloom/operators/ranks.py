@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.functions import tails
+from cohortloom.operators.quantiles import bucket
 
 
 def running(counted: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
     """Adds ``<sum>_before``: the sum over all smaller values of the same keys. One row per keys and value is given."""
-    b = counted.withColumn("_b", F.floor(F.asinh(F.col(value)) * 64))
+    b = counted.withColumn("_b", bucket(F.col(value)))
     per = b.groupBy(*keys, "_b").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
     over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_bb"), *((F.sum(f"_t_{s}").over(over) - F.col(f"_t_{s}")).alias(f"_p_{s}") for s in sums))
@@ -96,6 +97,8 @@ def kruskal(df: DataFrame, keys: list[str], value: str, group: str, least: int =
 def anderson_darling(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
     """The k-sample statistic for tied values (midranks), not standardised, with groups and rows; null for one group or
     one distinct value. Sums run over counts of distinct values, so a hot key is spread."""
+    if not keys:
+        return anderson_darling(df.withColumn("_all", F.lit(1)), ["_all"], value, group).drop("_all")
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(group).isNotNull())
     sizes = x.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n_i"))
     total = sizes.groupBy(*keys).agg(F.sum("n_i").alias("n"), F.count(F.lit(1)).alias("n_groups"))

@@ -107,7 +107,7 @@ def _(t):
     from cohortloom.operators.quantiles import exact_quantiles
 
     x = days(t).unpivot(["row_id"], [S, A, D], "metric", "v")
-    return exact_quantiles(x, ["metric"], "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}, width=16.0, reach=1e6).select("metric", F.round("med", 6).alias("med"), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
+    return exact_quantiles(x, ["metric"], "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}).select("metric", F.round("med", 6).alias("med"), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
 
 
 @R.query("q_ag_06", f"with {_SQL} select m as metric, round(avg(v) filter (where group_bin = 0), 6) as mean_0, round(stddev_samp(v) filter (where group_bin = 0), 6) as sd_0, round(avg(v) filter (where group_bin = 1), 6) as mean_1, round(stddev_samp(v) filter (where group_bin = 1), 6) as sd_1 from (select group_bin, unnest(['{A}', '{D}']) as m, unnest([{A}, {D}]) as v from w) group by 1")

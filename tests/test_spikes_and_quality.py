@@ -108,3 +108,16 @@ def test_shift_follows_the_rule_whatever_the_classifier_says(spark):
     for drift in (blind, None):
         got = quality.number_issues(df, "lab", "load", "v", F.col("v").isNull(), F.lit(True), F.col("v"), drift, **rules).collect()
         assert {r["load_id"]: r["issues"] for r in got} == {"L0": ["shift"], "L1": [], "L2": [], "L3": []}
+
+
+def test_buckets_follow_the_data(spark):
+    """Quantiles of scores and of intensities up to billions; no bucket holds much of either, and order is kept."""
+    from cohortloom.operators.quantiles import bucket
+
+    rng = np.random.default_rng(5)
+    for v in (rng.random(20000), np.exp(rng.normal(14, 2.5, 20000)), np.r_[-np.exp(rng.normal(3, 2, 10000)), np.exp(rng.normal(3, 2, 10000)), np.zeros(5), 5e-324, -5e-324, np.inf, -np.inf]):
+        df = spark.createDataFrame(pd.DataFrame({"v": v}))
+        b = df.select("v", bucket(F.col("v")).alias("b")).toPandas().sort_values("v")
+        assert b["b"].is_monotonic_increasing and b["b"].value_counts().iloc[0] < 0.01 * len(v)
+        q = exact_quantiles(df.where("abs(v) < 1e300"), [], "v", {"a": 0.25, "b": 0.5, "c": 0.9}).first()
+        assert np.allclose([q["a"], q["b"], q["c"]], np.quantile(v[np.abs(v) < 1e300], [0.25, 0.5, 0.9]))

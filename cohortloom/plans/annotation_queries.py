@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators import annotation as an
-from cohortloom.operators import design, ranks
+from cohortloom.operators import dedup, design, ranks
 from cohortloom.operators import modelling as ml
 from cohortloom.operators import normalize as nz
 from cohortloom.operators import relational as rel
@@ -352,4 +352,31 @@ def _(t):
     return out
 
 
+# ---- features: classes and spreads on their own, resampling
+
+
+_KNOWN = "mods as (select unnest([" + ", ".join(f"{{'o': {i}, 't': '{a}', 's': {c}::double}}" for i, (a, _b, c) in enumerate(dedup.MODIFICATIONS)) + "], recursive := true))"
+
+
+@q("q_tr_16", _KNOWN + ", x as (select p_partkey, p_retailprice / 10.0 - (p_retailprice / 10.0 - (p_partkey % 5) * 5.0) as delta from part) select p_partkey, case when abs(delta) <= 0.02 then 'Parent' else coalesce((select arg_min(t, o) from mods where abs(s - delta) <= 0.1), 'Unknown/Measurement Error') end as classification from x")
+def _(t):
+    """Parent, known modification or neither, by the distance of a feature from its expected mass."""
+    mz = F.col("p_retailprice") / 10.0
+    mass = mz - (F.col("p_partkey") % 5) * 5.0 - dedup.PROTON
+    return t("part").select("p_partkey", dedup.classified(mass, mz)["classification"].alias("classification"))
+
+
+@one("q_tr_17", "with g as (select p_brand, p_type, count(*) as n, (max(p_size) - min(p_size)) / 10.0 as spread from part group by 1, 2) select p_brand, p_type, n, case when n < 2 then 'single_candidate' when spread < 0.5 then 'chromatographic_artifact' when spread <= 3.0 then 'potential_structural_isomers' else 'likely_annotation_error' end as flag from g")
+def _(t):
+    """What the spread of retention times of a compound's candidates says."""
+    g = t("part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), ((F.max("p_size") - F.min("p_size")) / 10.0).alias("spread"))
+    return g.select("p_brand", "p_type", "n", dedup.rt_flag(F.col("n"), F.col("spread")).alias("flag"))
+
+
+@R.query("q_tk_08")
+def _(t):
+    """Interval of a mean from 1000 resamples by hash; tests hold it against the normal interval."""
+    return ml.bootstrap_means(measured(t), "event_id", "value", 1000)
+
+
 QUERIES, SQL = R.queries, R.sql

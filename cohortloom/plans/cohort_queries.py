@@ -325,6 +325,16 @@ union all select 'sample_metadata', 'group_label', load_id, 'shift' from d where
   where {_STUDY} and {_PASS.format('qc_warning')} and {_PASS.format('assay_warning')})
 select case when regexp_matches(k, '^DP3[0-9]') then 'DP3-' || substr(k, 4) else k end as sample_id, source_file, panel, assay
 from r where k is not null and v <> 0 group by k, source_file, panel, assay having min(v) <> max(v)""",
+    "p2_versions": """with l as (select *, case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload end as j from fitbit_raw_records),
+k as (select export_name, site_code, file_name, j, unnest(json_keys(j)) as f from l where j is not null),
+t as (select export_name, site_code, file_name, f, case json_type(j, '$."' || f || '"') when 'NULL' then null when 'VARCHAR' then 'text' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'object' else 'number' end as kind from k),
+n as (select export_name, site_code, file_name, f, kind, count(*) as n from t group by all),
+b as (select export_name, site_code, file_name, f, arg_min(kind, (-n, kind)) filter (where kind is not null) as kind from n group by all),
+p as (select export_name, site_code, file_name, sha256(string_agg(f || ':' || coalesce(kind, 'none'), '|' order by f)) as fingerprint from b group by all),
+a as (select export_name, site_code, file_name, min(exported_at) as exported_at, count(*) as n_lines from fitbit_raw_records group by all),
+s as (select a.*, row_number() over (partition by a.export_name, a.site_code order by exported_at nulls first, a.file_name) as seq, coalesce(fingerprint, '') as fingerprint from a left join p on a.export_name is not distinct from p.export_name and a.site_code is not distinct from p.site_code and a.file_name is not distinct from p.file_name),
+w as (select *, (lag(fingerprint) over (partition by export_name, site_code order by seq) is distinct from fingerprint)::int as new from s)
+select export_name, site_code, file_name, exported_at, n_lines, seq, fingerprint, sum(new) over (partition by export_name, site_code order by seq rows unbounded preceding)::bigint as version from w""",
     "p1_found": f"with {_REFS} select table_name, row_id, ref_field from lost",
     "p1_report": f"""with {_REFS},
 t as (select table_name, ref_field, strftime(ts, '%Y-%m') as period, count(*) as n_refs from refs where key is not null group by all),

@@ -28,6 +28,15 @@ def q_src_01(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_csv(spark, at, x.schema)
 
 
+def q_snk_01(spark: SparkSession, d: str) -> DataFrame:
+    """Text with separators, quotes and line ends written as CSV and read again as it was."""
+    at = _folder(spark)
+    odd = F.concat(F.col("s_name"), F.lit(', "'), F.lit("\n"), F.col("s_suppkey").cast("string"), F.lit('"'))
+    x = table(spark, d, "supplier").select("s_suppkey", odd.alias("note"))
+    x.write.mode("overwrite").option("header", True).option("escape", '"').csv(at)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(x.schema).csv(at)
+
+
 def q_src_02(spark: SparkSession, d: str) -> DataFrame:
     """Semicolons found by looking at the first line."""
     at = _folder(spark)
@@ -187,7 +196,7 @@ def q_stream_unique(spark: SparkSession, d: str) -> DataFrame:
     return windows.run_to_end(spark, once.select("event_id", "event_type"), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (q_src_01, q_src_02, q_src_03, q_src_04, q_src_05, q_src_06, q_src_08, q_src_09, q_src_16, q_src_19, q_snk_02, q_snk_05, q_snk_06, q_snk_07, q_snk_09, q_hp_12, q_prj_01, q_stream_tumbling, q_stream_sessions, q_stream_unique)}
+QUERIES = {f.__name__: f for f in (q_src_01, q_src_02, q_src_03, q_src_04, q_src_05, q_src_06, q_src_08, q_src_09, q_src_16, q_src_19, q_snk_01, q_snk_02, q_snk_05, q_snk_06, q_snk_07, q_snk_09, q_hp_12, q_prj_01, q_stream_tumbling, q_stream_sessions, q_stream_unique)}
 SQL = {
     "q_src_01": "select p_partkey, p_name, p_size from part",
     "q_src_02": "select n_nationkey, n_name from nation",
@@ -196,6 +205,7 @@ SQL = {
     "q_src_06": "select i + 1 as row_no, n_name from (select row_number() over (order by n_nationkey) as i, n_name from nation) where i in (1, 4, 8)",
     "q_src_09": "select s_suppkey, s_acctbal, chr(65 + (s_suppkey % 3)::int) as comparison from supplier",
     "q_src_19": "select r_regionkey, r_name from region",
+    "q_snk_01": "select s_suppkey, s_name || ', \"' || chr(10) || s_suppkey || '\"' as note from supplier",
     "q_snk_06": "select count(*) as n, 0 as n_different from embeddings",
     "q_hp_12": "select case when user_id % 5 = 0 then 'test' else 'train' end as split, event_type, count(*) as n from events where event_type in ('click', 'view') group by 1, 2",
     "q_src_04": "select n_nationkey, n_name, n_regionkey from nation",

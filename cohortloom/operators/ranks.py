@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,7 +67,7 @@ def wilcoxon(df: DataFrame, keys: list[str], delta: str, least: int = 5) -> Data
     n, w = F.col("n").cast("double"), F.least("w_up", "w_down")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     fit = F.col("n") >= least
-    return s.select(*keys, F.col("n").alias("n_pairs"), F.when(fit, w).alias("w"), F.when(fit, (w - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"), (~fit).alias("excluded"))
+    return s.select(*keys, F.col("n").alias("n_pairs"), F.when(fit, w).alias("w"), F.when(fit, (w - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"), (F.col("ties") > 0).alias("tied"), (~fit).alias("excluded"))
 
 
 def kolmogorov(df: DataFrame, keys: list[str], value: str, second: Column, least: int = 2) -> DataFrame:
@@ -140,15 +141,19 @@ def adjust_bh(df: DataFrame, scope: list[str], p: str, key: list[str], alpha: fl
 
 
 def exact_u_sf(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of U without ties, by counting arrangements."""
-    ways = [1.0] + [0.0] * (n1 * n2)
+    """Two-sided exact p of U without ties, by counting arrangements; time and room grow with the product of the sizes
+    and the smaller one."""
+    n1, n2 = min(n1, n2), max(n1, n2)
+    size = n1 * n2 + 1
+    ways = np.zeros(size)
+    ways[0] = 1.0
     for i in range(1, n1 + 1):
-        for s in range(len(ways) - 1, n2 + i - 1, -1):
-            ways[s] -= ways[s - n2 - i]
-        for s in range(i, len(ways)):
-            ways[s] += ways[s - i]
+        if n2 + i < size:
+            ways[n2 + i :] -= ways[: size - n2 - i].copy()
+        # running sums over every i-th place
+        ways = np.pad(ways, (0, -size % i)).reshape(-1, i).cumsum(axis=0).ravel()[:size]
     top = math.ceil(max(u, n1 * n2 - u))
-    return min(1.0, 2 * sum(ways[top:]) / math.comb(n1 + n2, n1))
+    return min(1.0, 2 * float(ways[top:].sum()) / math.comb(n1 + n2, n1))
 
 
 def exact_w_sf(w: float, n: int) -> float:
@@ -167,13 +172,20 @@ def p_of_u(u: pd.Series, z: pd.Series, n1: pd.Series, n2: pd.Series, tied: pd.Se
     for a, b, c, d, e in zip(u, z, n1, n2, tied, strict=True):
         if a is None or a != a:
             out.append(None)
-        elif min(c, d) <= 8 and not e and c * d <= 4000:
+        elif min(c, d) <= 8 and not e:
             out.append(exact_u_sf(a, int(c), int(d)))
         else:
             out.append(min(1.0, 2 * tails.normal_sf(max(b, 0.0))) if b == b else 1.0)
     return pd.Series(out, dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def p_of_w(w: pd.Series, z: pd.Series, n: pd.Series, tied: pd.Series) -> pd.Series:
+    """Exact for at most 50 pairs without ties, else from z."""
+    exact = lambda a, c, e: a == a and c <= 50 and not e
+    return pd.Series([None if a is None or a != a else exact_w_sf(a, int(c)) if exact(a, c, e) else min(1.0, 2 * tails.normal_sf(abs(b))) if b == b else 1.0 for a, b, c, e in zip(w, z, n, tied, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def p_of_z(z: pd.Series) -> pd.Series:
     return z.map(lambda x: min(1.0, 2 * tails.normal_sf(abs(x))) if x == x else None).astype("float64")

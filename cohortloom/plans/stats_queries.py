@@ -60,7 +60,7 @@ def _(t):
 def _(t):
     """Longitudinal table: signed-rank test per comparison and feature with p and q per comparison."""
     d = rel.adjacent_deltas(per_sample(t), "subject", "feature", "tp", "value")
-    w = ranks.wilcoxon(d, ["comparison", "feature"], "delta").withColumn("p_value", ranks.p_of_z("z"))
+    w = ranks.wilcoxon(d, ["comparison", "feature"], "delta").withColumn("p_value", ranks.p_of_w("w", "z", "n_pairs", "tied"))
     return ranks.adjust_bh(w, ["comparison"], "p_value", ["feature"])
 
 

@@ -119,3 +119,17 @@ def test_folds_are_stratified_and_capped(spark):
     x, n = modelling.stratified_folds(df, "id", "y")
     assert n == 10 and {(r["fold"], r["y"]): r["count"] for r in x.groupBy("fold", "y").count().collect()} == {(k, y): 10 if y else 40 for k in range(10) for y in (True, False)}
     assert modelling.stratified_folds(df.where("not y or id < 15"), "id", "y")[1] == 3
+
+
+def test_exact_tails_by_listing_all_arrangements(spark):
+    import itertools
+
+    for n1, n2 in ((3, 4), (5, 2), (1, 6)):
+        us = [sum(a) - n1 * (n1 - 1) / 2 for a in itertools.combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            top = max(u, n1 * n2 - u)
+            assert abs(ranks.exact_u_sf(u, n1, n2) - min(1.0, 2 * sum(x >= top for x in us) / len(us))) < 1e-12
+    assert abs(ranks.exact_u_sf(0, 2, 3000) - 2 / (3002 * 3001 / 2)) < 1e-12
+    ws = [sum(i for i, b in enumerate(s, 1) if b) for s in itertools.product((0, 1), repeat=6)]
+    got = spark.createDataFrame([(float(w), 0.5, 6, False) for w in range(11)] + [(3.0, 0.0, 6, True), (None, None, 2, False)], "w double, z double, n int, tied boolean").select("w", "tied", ranks.p_of_w("w", "z", "n", "tied").alias("p")).collect()
+    assert all(abs(r["p"] - min(1.0, 2 * sum(x <= r["w"] for x in ws) / 64)) < 1e-12 for r in got[:11]) and got[11]["p"] == 1.0 and got[12]["p"] is None

@@ -55,14 +55,33 @@ def adjacent_deltas(df: DataFrame, subject: str, feature: str, timepoint: str, v
     return x.select(subject, feature, F.concat("_t1", F.lit("_minus_"), "_t0").alias("comparison"), (F.col("_v1") - F.col("_v0")).alias("delta"))
 
 
+#: Cells of a grid are wider than the tolerance by this factor, so that no rounding puts a pair two cells apart.
+WIDER = 1.001
+#: The outermost cells hold all values beyond.
+LAST_CELL = 1e12
+
+
+def _finite(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a number in every column; null, NaN and infinite values are near nothing."""
+    for c in columns:
+        df = df.where(F.abs(F.col(c)) < float("inf"))
+    return df
+
+
 def band_join(df: DataFrame, key: str, x: str, y: str, x_tol: float, y_tol: float) -> DataFrame:
     """Pairs of different rows near each other in x and y, smaller key first.
 
-    Rows meet in cells of the grid as wide as the tolerances: an equi-join on the cell in place of a join of all with
-    all. A row is sent to its own cell and the eight around it.
+    Rows meet in cells of a grid a little wider than the tolerances: an equi-join on the cell in place of a join of all
+    with all. A row stays in its own cell on one side; on the other it is sent to its own and to four of the eight around
+    it, so that any two cells meet once. Sizes that are estimated for a plan know nothing of rows sent to several
+    cells; the join is therefore never a broadcast.
     """
-    cell = lambda c, tol: F.floor(F.col(c) / tol).cast("long")
+    cell = lambda c, tol: F.floor(F.least(F.greatest(F.col(c).cast("double") / (tol * WIDER), F.lit(-LAST_CELL)), F.lit(LAST_CELL)))
+    df = _finite(df, x, y)
     a = df.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x, x_tol).alias("_cx"), cell(y, y_tol).alias("_cy"))
-    around = F.array(*(F.struct((cell(x, x_tol) + i).alias("i"), (cell(y, y_tol) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    b = df.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), F.explode(around).alias("c")).select("b", "bx", "by", F.col("c.i").alias("_cx"), F.col("c.j").alias("_cy"))
-    return a.join(b, ["_cx", "_cy"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ax") - F.col("bx")) <= x_tol) & (F.abs(F.col("ay") - F.col("by")) <= y_tol)).select("a", "b", "ax", "bx", "ay", "by")
+    sent = F.array(*(F.struct((cell(x, x_tol) + i).alias("i"), (cell(y, y_tol) + j).alias("j"), F.lit(i == j == 0).alias("own")) for i, j in ((0, 0), (0, -1), (-1, -1), (-1, 0), (-1, 1))))
+    b = df.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), F.explode(sent).alias("c")).select("b", "bx", "by", F.col("c.i").alias("_cx"), F.col("c.j").alias("_cy"), F.col("c.own").alias("_own"))
+    near = a.join(b.hint("merge"), ["_cx", "_cy"]).where(
+        ((F.col("a") < F.col("b")) | (~F.col("_own") & (F.col("a") > F.col("b")))) & (F.abs(F.col("ax") - F.col("bx")) <= x_tol) & (F.abs(F.col("ay") - F.col("by")) <= y_tol))
+    first = F.col("a") < F.col("b")
+    return near.select(*(F.when(first, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("ax", "bx"), ("bx", "ax"), ("ay", "by"), ("by", "ay"))))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.operators.relational import band_join, finite
 from cohortloom.session import cut
 
 #: Tolerances and the proton's mass.
@@ -127,6 +128,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, a: str = "a", b: s
     followed four deep, and edges are drawn between the labels that are left. In a random order a label comes before
     all its neighbours with a chance below one half, so labels with edges at least halve, by expectation, whatever the
     graph's shape; a chain of n nodes takes about log n rounds. Two checkpoints cut a round; it ends without edges.
+    Hooks and labels may be as many as nodes, so no join is a broadcast, whatever size is estimated.
     """
     links = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x <> y").distinct())
     hooks: list[DataFrame] = []
@@ -135,14 +137,31 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, a: str = "a", b: s
         hook = links.groupBy("x").agg(F.min(place("y")).alias("m")).select("x", F.when(F.col("m") < place("x"), F.col("m.v")).otherwise(F.col("x")).alias("p"))
         for _ in range(2):
             up = hook.select(F.col("x").alias("_x"), F.col("p").alias("_p"))
-            hook = hook.join(up, F.col("p") == F.col("_x")).select("x", F.col("_p").alias("p"))
+            hook = hook.join(up.hint("merge"), F.col("p") == F.col("_x")).select("x", F.col("_p").alias("p"))
         hook = cut(hook)
         hooks.append(hook)
         left, right = hook.select(F.col("x").alias("_a"), F.col("p").alias("_pa")), hook.select(F.col("x").alias("_b"), F.col("p").alias("_pb"))
-        links = cut(links.join(left, F.col("x") == F.col("_a")).join(right, F.col("y") == F.col("_b")).select(F.col("_pa").alias("x"), F.col("_pb").alias("y")).where("x <> y").distinct())
+        links = cut(links.join(left.hint("merge"), F.col("x") == F.col("_a")).join(right.hint("merge"), F.col("y") == F.col("_b")).select(F.col("_pa").alias("x"), F.col("_pb").alias("y")).where("x <> y").distinct())
     label = nodes.select(F.col(node).alias("n"), F.col(node).alias("c")).distinct()
     for hook in hooks:
-        label = label.join(hook, F.col("c") == F.col("x"), "left").select("n", F.coalesce("p", "c").alias("c"))
+        label = label.join(hook.hint("merge"), F.col("c") == F.col("x"), "left").select("n", F.coalesce("p", "c").alias("c"))
     label = cut(label)
     least = label.groupBy("c").agg(F.min("n").alias("least"))
-    return label.join(least.withColumnRenamed("c", "_c"), F.col("c").eqNullSafe(F.col("_c"))).select(F.col("n").alias(node), F.col("least").alias("component"))
+    return label.join(least.withColumnRenamed("c", "_c").hint("merge"), F.col("c").eqNullSafe(F.col("_c"))).select(F.col("n").alias(node), F.col("least").alias("component"))
+
+
+def near_components(df: DataFrame, key: str, x: str, y: str, x_tol: float, y_tol: float) -> DataFrame:
+    """Components of the rows that band_join pairs, without listing all pairs: ``key, component``.
+
+    Rows at one point are all near each other, so only points are paired and labelled, each under its least key; a key
+    that stands at several points connects them. Two points have one edge, however many rows stand at either.
+    """
+    at = finite(df, x, y).where(F.col(key).isNotNull()).select(F.col(key).alias("n"), F.col(x).alias("x"), F.col(y).alias("y"))
+    at = at.withColumn("least", F.min("n").over(Window.partitionBy("x", "y"))).withColumn("first", F.min("least").over(Window.partitionBy("n")))
+    at = cut(at)
+    points = at.select("least", "x", "y").distinct()
+    edges = band_join(points, "least", "x", "y", x_tol, y_tol).select("a", "b").union(at.where("first <> least").select("first", "least"))
+    label = components(points, edges, "least")
+    known = at.select("n", "first").distinct().join(label.hint("merge"), F.col("first") == F.col("least")).select("n", "component")
+    own = df.select(F.col(key).alias("_key")).distinct()
+    return own.join(known.hint("merge"), F.col("_key") == F.col("n"), "left").select(F.col("_key").alias(key), F.coalesce("component", "_key").alias("component"))

@@ -61,7 +61,7 @@ WIDER = 1.001
 LAST_CELL = 1e12
 
 
-def _finite(df: DataFrame, *columns: str) -> DataFrame:
+def finite(df: DataFrame, *columns: str) -> DataFrame:
     """Rows with a number in every column; null, NaN and infinite values are near nothing."""
     for c in columns:
         df = df.where(F.abs(F.col(c)) < float("inf"))
@@ -77,7 +77,7 @@ def band_join(df: DataFrame, key: str, x: str, y: str, x_tol: float, y_tol: floa
     cells; the join is therefore never a broadcast.
     """
     cell = lambda c, tol: F.floor(F.least(F.greatest(F.col(c).cast("double") / (tol * WIDER), F.lit(-LAST_CELL)), F.lit(LAST_CELL)))
-    df = _finite(df, x, y)
+    df = finite(df, x, y)
     a = df.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x, x_tol).alias("_cx"), cell(y, y_tol).alias("_cy"))
     sent = F.array(*(F.struct((cell(x, x_tol) + i).alias("i"), (cell(y, y_tol) + j).alias("j"), F.lit(i == j == 0).alias("own")) for i, j in ((0, 0), (0, -1), (-1, -1), (-1, 0), (-1, 1))))
     b = df.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), F.explode(sent).alias("c")).select("b", "bx", "by", F.col("c.i").alias("_cx"), F.col("c.j").alias("_cy"), F.col("c.own").alias("_own"))

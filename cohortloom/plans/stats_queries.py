@@ -260,9 +260,7 @@ def _(t):
 
 @R.query("q_gr_03", "with recursive " + _PART + ", e as (select a.id as a, b.id as b from x a join x b on a.id <> b.id and abs(a.mz - b.mz) <= 0.02 and abs(a.rt - b.rt) <= 0.2), r(n, c) as (select id, id from x union select e.b, r.c from r join e on e.a = r.n) select n as id, min(c) as component from r group by 1")
 def _(t):
-    x = features(t)
-    e = rel.band_join(x, "id", "mz", "rt", 0.02, 0.2)
-    return dedup.components(x, e, "id")
+    return dedup.near_components(features(t), "id", "mz", "rt", 0.02, 0.2)
 
 
 @R.query("q_rs_18", "with x as (select p_partkey as id, case when p_size < 10 then '' else p_name end as name, p_type as formula, (p_partkey % 100)::double as conf, p_retailprice as mz, p_size::double as rt from part) select id, case when name <> '' then name || '_POS' else 'unk_' || id || '_POS_' || format('{:.4f}', mz) || '_RT' || format('{:.2f}', rt) end as final_id, case when contains(lower(name), 'istd') then 'Level 1' when name <> '' and conf >= 80 then 'Level 2' when name <> '' then 'Level 3' when formula <> '' then 'Level 4' else 'Level 5' end as level from x")

@@ -100,3 +100,12 @@ def test_names_of_one_file_are_never_pooled():
     names = {"steps": 5, "Steps": 2, "total": 3, "sum": 1}
     to = drift.pooled_names(names, [("steps", "total"), ("total", "sum")], {("steps", "total")})
     assert to["steps"] == to["Steps"] == "steps" and to["total"] == to["sum"] != "steps"
+
+
+def test_short_values_prove_a_rename_beside_many_long_ones(spark):
+    """All long values are the same in every record, and a kept field names the export: only the shortest values tell."""
+    long_ = {f"t{k}": f"the same long remark in every record, number {k}" for k in range(9)}
+    a = [long_ | {"export": "first", "id": 700 + i, "n": 41 + 3 * i} for i in range(12)]
+    b = [long_ | {"export": "second", "participant": r["id"], "total": r["n"]} for r in a]
+    df = spark.createDataFrame(lines_of([("f1", a), ("f2", b)]), SCHEMA)
+    assert {(r["change_kind"], r["old_field"], r["new_field"]) for r in drift.changes(df).collect()} == {("renamed", "id", "participant"), ("renamed", "n", "total")}

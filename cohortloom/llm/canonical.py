@@ -226,9 +226,13 @@ class Field:
                 self.starts.setdefault(w[:n], set()).add(w)
             self.skeletons.setdefault(skeleton(w), set()).add(w)
         self.skeleton_tree = BKTree(list(self.skeletons))
+        #: A longer word is like no vocabulary word: lengths differ by more than the slips allowed.
+        self.reach = max(map(len, self.words), default=0) + 2
 
     def like(self, word: str) -> set[str]:
         """Vocabulary words that a word of an entry may stand for: misspelt, shortened, or without vowels."""
+        if len(word) > self.reach:
+            return set()
         out = {w for d, w in self.word_tree.within(word, 2 * slips(len(word))) if d == 0 or damerau(word, w) <= min(slips(len(word)), slips(len(w)))}
         if len(word) >= 3:
             out |= self.starts.get(word, set())
@@ -241,7 +245,7 @@ class Field:
         """The words, with one that is no vocabulary word cut in two where both parts are: a blank was left out."""
         out: list[str] = []
         for w in words:
-            cuts = [] if len(w) < 6 or self.like(w) else [k for k in range(3, len(w) - 2) if self.like(w[:k]) and self.like(w[k:])]
+            cuts = [] if len(w) < 6 or self.like(w) else [k for k in range(max(3, len(w) - self.reach), min(len(w) - 3, self.reach) + 1) if self.like(w[:k]) and self.like(w[k:])]
             best = min(cuts, key=lambda k: ((w[:k] not in self.words) + (w[k:] not in self.words), k), default=0)
             out += [w[:best], w[best:]] if best else [w]
         return out
@@ -262,7 +266,7 @@ class Field:
         for full in map(str.split, readings_of(text)):
             if len(full) > 1 and sum(map(len, full)) >= 4:  # every word shortened, down to a letter
                 out += [(1, 0, 0, 0, v, 0, 0) for e, values in self.firsts.get("".join(w[0] for w in full), ()) if all(a.startswith(b) for a, b in zip(e, full, strict=True)) for v in values]
-        words = self.apart(telling(plain(text)))[:60]
+        words = self.apart(telling(plain(text)))
         total = sum(map(len, words))
         masks: dict[str, int] = {}
         found: dict[str, set[str]] = {}
@@ -304,7 +308,7 @@ def decide(candidates: list[tuple[int, int, int, int, str, int, int]]) -> tuple[
     return None, None, len(worded)
 
 
-CANDIDATE = "stage int, distance int, then int, last int, value string, mask long, letters int"
+CANDIDATE = "stage int, distance int, then int, last int, value string, mask string, letters int"
 MATCHED = "field_name string, entry string, canonical_value string, distance int, n_within int"
 
 
@@ -354,20 +358,20 @@ def match_distinct(entries: DataFrame, ref: DataFrame, broadcast_entries: int =
     pieces = ref.withColumn("shard", F.pmod(F.xxhash64("field_name", "canonical_value"), F.lit(shards)))
     asked = entries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(64)))
     spread = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    schema = pa.schema([("field_name", pa.string()), ("entry", pa.string()), ("stage", pa.int32()), ("distance", pa.int32()), ("then", pa.int32()), ("last", pa.int32()), ("value", pa.string()), ("mask", pa.int64()), ("letters", pa.int32())])
+    schema = pa.schema([("field_name", pa.string()), ("entry", pa.string()), ("stage", pa.int32()), ("distance", pa.int32()), ("then", pa.int32()), ("last", pa.int32()), ("value", pa.string()), ("mask", pa.string()), ("letters", pa.int32())])
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
         known = _fields(list(zip(*(right.column(c).to_pylist() for c in cols), strict=True))) if left.num_rows else {}
-        out = [(f, t, *c) for f, t in zip(left.column("field_name").to_pylist(), left.column("entry").to_pylist(), strict=True) if f in known for c in known[f].candidates(t)]
+        out = [(f, t, *c[:5], f"{c[5]:x}", c[6]) for f, t in zip(left.column("field_name").to_pylist(), left.column("entry").to_pylist(), strict=True) if f in known for c in known[f].candidates(t)]
         return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     found = asked.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInArrow(shard, f"field_name string, entry string, {CANDIDATE}")
-    # an entry has at most a few candidates per value near it
+    # an entry has at most a few candidates per value near it; masks, one bit per word, travel as text
     merged = found.groupBy("field_name", "entry").agg(F.collect_list(F.struct("stage", "distance", "then", "last", "value", "mask", "letters")).alias("c"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [decide([tuple(x.values()) for x in c]) for c in b.column("c").to_pylist()]
+            got = [decide([(*x[:5], int(x[5], 16), x[6]) for x in (tuple(y.values()) for y in c)]) for c in b.column("c").to_pylist()]
             yield _matched(b.column("field_name").to_pylist(), b.column("entry").to_pylist(), got)
 
     return merged.mapInArrow(merge, MATCHED)

@@ -64,6 +64,13 @@ def test_entries_that_no_list_holds(spark):
             assert {r["entry"]: r["canonical_value"] for r in got} == values, how
 
 
+@pytest.mark.parametrize("how", [{}, {"broadcast_entries": 10}])
+def test_every_word_of_a_long_entry_counts(spark, how):
+    """What tells the value comes after eighty words that tell nothing; one of them is very long."""
+    got = mapped(spark, ["zzq " * 80 + "asian " * 80, "zzq " * 80 + "asian " * 20, "q" * 20_000 + " asian"], **how)
+    assert [got[i]["canonical_value"] for i in range(3)] == ["Asian", "unmatched", "unmatched"]
+
+
 def test_no_values(spark):
     assert mapped(spark, []) == {} and mapped(spark, [None, ""]) == {}
 
